@@ -35,6 +35,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Python workers get whole texts in batches of at most so many rows, which bounds their memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table of :func:`materialize` that nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm

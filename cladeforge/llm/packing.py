@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import buckets_for, materialize, number_rows, table
+from cladeforge.llm.common import buckets_for, materialize, number_rows, table, text_batches
 
 CAPACITY, END_ID = 1024, 2
 
@@ -163,6 +163,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, length:
 
 
 def best_fit_pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ranks_path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    text_batches(docs.sparkSession)
     pieces = materialize(tokenize_pieces(docs, key, text, capacity, end_id, ranks_path, keep_ids), "pieces")
     return pack(pieces, [key, "piece", "start", "length", "ids_crc32"], capacity)
 

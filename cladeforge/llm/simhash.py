@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import materialize, table
+from cladeforge.llm.common import materialize, table, text_batches
 from cladeforge.llm.graph import connected_components
 
 SEED, MAX_BITS, BITS = 42, 3, 64
@@ -170,6 +170,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, run_limit: int | None =
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = MAX_BITS, seed: int = SEED) -> DataFrame:
     """(key, fp, component_id): the smallest key reachable over links of at most ``max_bits`` bits."""
+    text_batches(docs.sparkSession)
     own = materialize(fingerprints(docs, key, text, words, seed), "fingerprints")
     smallest = own.groupBy("fp").agg(F.min(key).alias("least"))
     distinct = materialize(smallest, "distinct_fingerprints")
