@@ -1,13 +1,15 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
-from cladeforge.llm import chat, packing, simhash, toxicity
+from cladeforge.llm import chat, decontaminate, packing, simhash, toxicity
 
 QUERIES = {
     "op4_chat_format": chat.op4_chat_format,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
 }
 ORACLE_SQL = {
+    "op8_benchmark_decontamination": decontaminate.OP8_SQL,
     "op4_chat_format": chat.OP4_SQL,
 }
