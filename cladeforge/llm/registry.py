@@ -1,8 +1,9 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
-from cladeforge.llm import chat, decontaminate, packing, simhash, toxicity
+from cladeforge.llm import chat, decontaminate, packing, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op4_chat_format": chat.op4_chat_format,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op10_toxicity": toxicity.op10_toxicity,
