@@ -1,11 +1,12 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
-from cladeforge.llm import chat, decontaminate, packing, secrets, sharding, simhash, toxicity
+from cladeforge.llm import chat, decontaminate, fingerprint, packing, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_sharding": sharding.op2_sharding,
     "op4_chat_format": chat.op4_chat_format,
+    "op5_document_fingerprints": fingerprint.op5_document_fingerprints,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op10_toxicity": toxicity.op10_toxicity,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
