@@ -1,10 +1,11 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
-from cladeforge.llm import chat, decontaminate, fingerprint, packing, secrets, sharding, simhash, toxicity
+from cladeforge.llm import chat, decontaminate, fingerprint, packing, secrets, sharding, simhash, suffix, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_sharding": sharding.op2_sharding,
+    "op3_suffix_dedup": suffix.op3_suffix_dedup,
     "op4_chat_format": chat.op4_chat_format,
     "op5_document_fingerprints": fingerprint.op5_document_fingerprints,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
