@@ -1,6 +1,6 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
-from cladeforge.llm import chat, decontaminate, fingerprint, packing, secrets, sharding, simhash, suffix, toxicity
+from cladeforge.llm import chat, decontaminate, fingerprint, licenses, packing, secrets, sharding, simhash, suffix, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op10_toxicity": toxicity.op10_toxicity,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op9_license_scan": licenses.op9_license_scan,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
 }
 ORACLE_SQL = {
