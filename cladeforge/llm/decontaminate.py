@@ -8,7 +8,7 @@ alignments left are compared word by word, which gives exact phrase matches; :fu
 Everything is DataFrame expressions. A document is one row throughout, so a passage in a third of all rows is no hot key: keys are (document, item, begin).
 The item tables are broadcast only while they are below ``broadcast_rows``; above, the same joins shuffle on the term.
 
-Words are lower-cased in A-Z only. Postings are made on fully lower-cased words, a superset, and the comparison is on the exact ones.
+Words are lower-cased in A-Z only.
 
 Defined results: null texts have no words and no hits; items without words or with a null text are never found; items with equal
 texts are found each; a null item id counts as an item and is left out of the ids; repeated rows get equal results; empty tables give an empty
@@ -22,17 +22,14 @@ from pyspark.sql import functions as F
 
 from cladeforge.llm.common import materialize, table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def loose_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-
-
-def exact_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+def words_of(text: Column) -> Column:
+    """Splitting on what is no word is several times faster than collecting words, as the class of separators is one of ASCII."""
+    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), BETWEEN), "")
 
 
 def row_key(*cols: str) -> Column:
@@ -45,10 +42,10 @@ class Decontaminator:
     def __init__(self, docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, broadcast_rows: int = 200_000) -> None:
         self.window = window
         self.docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        known = items.select(F.col(item).alias("item"), exact_words(F.coalesce(F.col(item_text), F.lit(""))).alias("exact"))
+        known = items.select(F.col(item).alias("item"), words_of(F.coalesce(F.col(item_text), F.lit(""))).alias("exact"))
         known = known.where(F.size("exact") > 0).withColumn("item_key", F.xxhash64("item", "exact")).dropDuplicates(["item_key"])
         self.items = materialize(known, "items")
-        self.item_terms = self.items.select("item_key", F.size("exact").alias("n"), F.posexplode(F.transform("exact", lambda w: F.lower(w))).alias("at", "term"))
+        self.item_terms = self.items.select("item_key", F.size("exact").alias("n"), F.posexplode("exact").alias("at", "term"))
         self.small = self.item_terms.count() <= broadcast_rows
         self.anchors = materialize(self._anchors(), "anchors")
 
@@ -59,7 +56,7 @@ class Decontaminator:
     def _anchors(self) -> DataFrame:
         """(term, places: item_key, at) for the two rarest positions of each window."""
         terms = self.item_terms.select("term").distinct()
-        counts = self.docs.select(F.explode(loose_words(F.col("text"))).alias("term")).join(self.sized(terms), "term", "left_semi").groupBy("term").count()
+        counts = self.docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(self.sized(terms), "term", "left_semi").groupBy("term").count()
         rated = self.item_terms.join(counts, "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
         per = rated.groupBy("item_key").agg(F.sort_array(F.collect_list(F.struct("at", "count", "term"))).alias("all"))
         width = F.least(F.size("all"), F.lit(self.window))
@@ -72,7 +69,7 @@ class Decontaminator:
     def alignments(self) -> DataFrame:
         """(row, item_key, begin, seen): where the offset-adjusted postings of a window's rarest terms meet; begin from 0."""
         places = self.anchors.groupBy("term").agg(F.collect_list(F.struct("item_key", "at", "windows")).alias("places"))
-        posted = self.docs.select(row_key("key", "text").alias("row"), F.posexplode(loose_words(F.col("text"))).alias("pos", "term"))
+        posted = self.docs.select(row_key("key", "text").alias("row"), F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
         met = posted.join(self.sized(places), "term").select("row", "pos", F.explode("places").alias("p"))
         lists = met.select("row", F.col("p.item_key").alias("item_key"), (F.col("pos") - F.col("p.at")).alias("begin"), F.col("p.at").alias("at"), F.col("p.windows").alias("windows"))
         joined = lists.groupBy("row", "item_key", "begin").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_list("windows"))).alias("windows"))
@@ -83,7 +80,7 @@ class Decontaminator:
         """(row, item, item_key, begin, same): same tells for each word of the item if the document has it there."""
         found = materialize(self.alignments(), "alignments")
         texts = self.docs.withColumn("row", row_key("key", "text")).join(found.select("row").distinct(), "row", "left_semi")
-        words = texts.dropDuplicates(["row"]).select("row", exact_words(F.col("text")).alias("words"))
+        words = texts.dropDuplicates(["row"]).select("row", words_of(F.col("text")).alias("words"))
         near = found.join(words, "row").join(self.sized(self.items), "item_key")
         same = F.transform("exact", lambda w, i: F.coalesce((F.col("begin") + i >= 0) & (F.get("words", F.col("begin") + i) == w), F.lit(False)))
         return near.select("row", "item", "item_key", "begin", same.alias("same"))
@@ -111,7 +108,7 @@ class Decontaminator:
             F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"),
         )
         per_row = materialize(per_row, "hits")
-        rows = self.docs.select("key", row_key("key", "text").alias("row"), F.size(loose_words(F.col("text"))).cast("long").alias("n_words"))
+        rows = self.docs.select("key", row_key("key", "text").alias("row"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
         zero = F.lit(0).cast("long")
         return rows.join(per_row, "row", "left").select(
             "key", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "row"
