@@ -22,10 +22,9 @@ def read_kmers(reads: DataFrame, k: int) -> DataFrame:
     return kmers.explode_windows(reads.withColumn("length", F.length("seq")), [*KEYS, "length"], k)
 
 
-def look_up(found: DataFrame, table: DataFrame, broadcast_rows: int = 2_000_000, table_rows: int | None = None) -> DataFrame:
-    """Adds node (null: unknown). A table below the checked size is broadcast; a larger one is joined by shuffle, or met in its buckets."""
-    rows = table.count() if table_rows is None else table_rows
-    return found.join(F.broadcast(table) if rows <= broadcast_rows else table, "kmer", "left")
+def look_up(found: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds node (null: unknown). Spark broadcasts a table that is known or turns out to be below its threshold, shuffles a larger one, and meets a bucketed one in its buckets."""
+    return found.join(table, "kmer", "left")
 
 
 def node_counts(hits: DataFrame) -> DataFrame:

@@ -8,14 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A tree's table is broadcast up to so many nodes; above, joins shuffle.
-BROADCAST_NODES = 200_000
+#: A table is broadcast up to this size, which the plan's statistics tell without a job; above, joins shuffle (and may still turn out small at run time).
+BROADCAST_BYTES = 32 << 20
 
 
-def sized(nodes: DataFrame, n_nodes: int | None = None) -> DataFrame:
-    """Broadcast while the tree is small enough. Without ``n_nodes`` a count of the table decides."""
-    n = nodes.count() if n_nodes is None else n_nodes
-    return F.broadcast(nodes) if n <= BROADCAST_NODES else nodes
+def sized(df: DataFrame) -> DataFrame:
+    """Broadcast if the plan knows the table to be small, as it does of driver-made trees and of files."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def closure(nodes: DataFrame) -> DataFrame:

@@ -97,6 +97,7 @@ def build_tree(genomes: DataFrame, k: int, scaled: int = 1, name: str = "node_id
     """Sketch, distances and neighbour joining in one go: Newick."""
     sketch = sketch_scaled(genomes, k, scaled, name).persist()
     names = [r[0] for r in genomes.select(name).distinct().orderBy(name).collect()]
-    root = neighbour_joining(matrix_of(pairs(sketch, k, name), names), [str(n) for n in names])
+    labels = [f"ref{n}" if str(n).isdigit() else str(n) for n in names]  # numbers name branches
+    root = neighbour_joining(matrix_of(pairs(sketch, k, name), names), labels)
     sketch.unpersist()
     return write_newick(root)

@@ -93,7 +93,7 @@ def rank_table(lines: DataFrame, taxonomy: DataFrame, ranks: list[str]) -> DataF
 
 def fill_up(table: DataFrame, ranks: list[str]) -> DataFrame:
     """An empty rank takes the value of the next lower one that has any; ranks from the root down."""
-    columns = [F.coalesce(*[F.col(r) for r in ranks[i:]]).alias(r) if i + 1 < len(ranks) else F.col(ranks[-1]) for i in range(len(ranks))]
+    columns = [F.coalesce(*[F.col(r) for r in ranks[i:]]).alias(ranks[i]) if i + 1 < len(ranks) else F.col(ranks[-1]) for i in range(len(ranks))]
     return table.select(*[c for c in table.columns if c not in ranks], *columns)
 
 

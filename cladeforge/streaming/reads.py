@@ -18,10 +18,8 @@ def read_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) -
 
 def classify_stream(reads: DataFrame, table: DataFrame, nodes: DataFrame, k: int, sink: Callable[[DataFrame, int], None], checkpoint: str, alpha: float = classify.ALPHA) -> StreamingQuery:
     """Each micro-batch is classified whole, since a read's k-mers are all in one row; ``sink`` gets read results. No state is kept."""
-    table_rows = table.count()
-
     def batch(rows: DataFrame, epoch: int) -> None:
-        hits = classify.look_up(classify.read_kmers(rows, k), table, table_rows=table_rows)
+        hits = classify.look_up(classify.read_kmers(rows, k), table)
         sink(classify.vote(hits, nodes, alpha, rows), epoch)
 
     return reads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
