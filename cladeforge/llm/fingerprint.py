@@ -111,14 +111,14 @@ def successors(ids: DataFrame, width: int = 4096) -> DataFrame:
     return inside.join(after, "range", "left").select("id", F.coalesce("next", "follow").alias("next"))
 
 
-def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", range_bytes: int = 4 << 20) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", range_bytes: int = 4 << 20, most_ranges: int = 100_000) -> DataFrame:
     """One row per document with its fingerprint, that of the edited text and the likenesses (see op5)."""
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # Ranges of ids: about range_bytes of text each, from counts per block of ids that one look at the sizes gives.
+    # Ranges of ids: about range_bytes of text each where ids are even, and at most most_ranges, so that their first ids can be broadcast. A range is read as a stream.
     edge = rows.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     lo, hi = edge["lo"] if edge["lo"] is not None else 0, edge["hi"] if edge["hi"] is not None else 0
-    ranges = max(1, -(-(edge["bytes"] or 0) // range_bytes))
+    ranges = max(256, min(most_ranges, -(-(edge["bytes"] or 0) // range_bytes)))
     span = max(1, -(-(hi - lo + 1) // ranges))
     low = lo - 1  # null ids stand before the first
     at = F.floor((F.coalesce("id", F.lit(low)) - F.lit(low)) / F.lit(span)).cast("long")
@@ -127,7 +127,7 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
     follow = successors(firsts.select(F.col("range").alias("id")))
     least = firsts.agg(F.min("range")).first()[0]
     tails = follow.select(F.coalesce("next", F.lit(least)).alias("range"), F.col("id").alias("to")).join(firsts, "range").select("first", "to")
-    heads = rows.withColumn("first", F.coalesce("id", F.lit(low))).join(tails, "first").groupBy("first", "to").agg(F.min("text").alias("text"))
+    heads = rows.withColumn("first", F.coalesce("id", F.lit(low))).join(F.broadcast(tails), "first").groupBy("first", "to").agg(F.min("text").alias("text"))
     heads = heads.select(F.col("to").alias("range"), F.lit(None).cast("long").alias("id"), F.lit(1).alias("tail"), "text")
     dealt = rows.select("range", "id", F.lit(0).alias("tail"), "text").unionByName(heads)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
