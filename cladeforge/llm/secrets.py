@@ -146,7 +146,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     postings = docs.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"(?i)(?=({_trie(terms)}))"), F.lit(1)), lambda t: F.lower(t)))).alias("trigram"))
     asked = [(t, kind, i, len(c)) for kind, q in queries.items() if q for i, c in enumerate(q) for t in c]
     clauses = F.broadcast(spark.createDataFrame(asked, "trigram string, kind string, clause int, size int"))  # bounded by the rules
-    met = postings.join(clauses, "trigram").groupBy("row", "kind", "clause", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size")
+    met = postings.join(clauses, "trigram").groupBy("row", "kind", "clause", "size").agg(F.count(F.lit(1)).alias("n")).where("n >= size")  # repeated rows count more than once
     return met.groupBy("row").agg(F.collect_set("kind").alias("rules"))
 
 
