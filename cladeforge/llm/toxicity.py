@@ -125,7 +125,8 @@ def fit(examples: DataFrame, vocabulary: int = 4096, min_ratio: float = 33.0, mi
             for t, y in zip(pdf["text"], pdf["label"], strict=True):
                 seen[y].update({f for token in set((t or "").lower().split()) for f in features_of(token)})
             keys = list(seen[0] | seen[1])
-            yield pd.DataFrame({"f": keys, "clean": [seen[0][x] for x in keys], "toxic": [seen[1][x] for x in keys]})
+            if keys:
+                yield pd.DataFrame({"f": keys, "clean": [seen[0][x] for x in keys], "toxic": [seen[1][x] for x in keys]})
 
     total = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = total.get(0, 0), total.get(1, 0)
@@ -154,7 +155,7 @@ def fit(examples: DataFrame, vocabulary: int = 4096, min_ratio: float = 33.0, mi
 def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000) -> DataFrame:
     """(key, text, label) of at most about ``fit_rows`` labelled ids outside the held-out fold, by the smallest hash of the id."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # fit_rows rows at most
     return found.select(F.col("doc_id").cast("long").alias("key"), "text", "label")
