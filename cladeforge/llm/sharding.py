@@ -2,7 +2,7 @@
 
 Documents with equal texts are linked. Counts per (group, shard) are the whole state, as linked documents of one shard are alike: a hot
 group is as many rows as there are shards. In each round a group's part in one shard asks to move to the group's largest part in a shard with
-room (ties: the lower shard), larger gains first, as far as that shard's room goes; the rest stays. Rounds end when nothing moves.
+room (ties: the shard with more room), larger gains first, as far as that shard's room goes; the rest stays. Rounds end when nothing moves.
 Documents without links then fill every shard up to its exact number of rows (law ``rows``: counts at most one apart).
 
 Everything is DataFrame expressions. Members of a group, free documents, arrivals and slots are numbered in buckets that grow in number with the table, never
@@ -43,12 +43,14 @@ def propagate(state: DataFrame, capacity: list[int], buckets: int, max_rounds: i
     for _ in range(max_rounds):
         load = {r["shard"]: r["c"] for r in state.groupBy("shard").agg(F.sum("c").alias("c")).collect()}  # one row a shard
         room = [capacity[s] - load.get(s, 0) for s in range(shards)]
-        parts = state.groupBy("h").agg(F.sort_array(F.collect_list(F.struct(F.col("c"), (-F.col("shard")).alias("s"))), asc=False).alias("parts"))  # a row a shard
+        order = {s: i for i, s in enumerate(sorted(range(shards), key=lambda s: (room[s], -s)))}
+        place = _lookup([order[s] for s in range(shards)], F.col("shard"))
+        parts = state.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("c", place.alias("p"), F.col("shard").alias("s"))), asc=False).alias("parts"))  # a row a shard
         parts = parts.where(F.size("parts") > 1)
         asks = parts.select("h", F.explode("parts").alias("own"), "parts")
-        larger = F.filter("parts", lambda p: (F.struct(p["c"], p["s"]) > F.struct(F.col("own.c"), F.col("own.s"))) & (_lookup(room, -p["s"]) > 0))
-        asks = asks.select("h", F.col("own.c").alias("c"), (-F.col("own.s")).alias("shard"), F.get(larger, F.lit(0)).alias("best")).where("best is not null")
-        asks = asks.select("h", "shard", "c", (-F.col("best.s")).alias("to"), (-F.floor(F.log2("best.c"))).cast("int").alias("rank"))
+        larger = F.filter("parts", lambda p: (p > F.col("own")) & (_lookup(room, p["s"]) > 0))
+        asks = asks.select("h", F.col("own.c").alias("c"), F.col("own.s").alias("shard"), F.get(larger, F.lit(0)).alias("best")).where("best is not null")
+        asks = asks.select("h", "shard", "c", F.col("best.s").alias("to"), (-F.floor(F.log2("best.c"))).cast("int").alias("rank"))
         ranked = prefix_sum(materialize(asks, "asks"), ["to"], ["rank", "h", "shard"], "c", "before", buckets)
         moves = ranked.withColumn("m", F.least(F.col("c"), _lookup(room, F.col("to")) - F.col("before"))).where("m > 0")
         moves = materialize(moves.select("h", "shard", "to", "m"), "moves")
