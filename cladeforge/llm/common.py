@@ -50,7 +50,7 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def buckets_for(rows: int, per_bucket: int = 20_000, least: int = 64) -> int:
+def buckets_for(rows: int, per_bucket: int = 20_000, least: int = 256) -> int:
     return max(least, -(-rows // per_bucket))
 
 
