@@ -4,13 +4,13 @@ A position's rank at length L is a 64-bit name of the L bytes there; the name at
 1, 2, 4, 8, 16, and at last 18 for the threshold of 50. Names replace ordinals, which only the order of suffixes would need, so equal strings rank equal
 everywhere and no round sorts the whole corpus. Spark brings ranks together twice, and drops unique ones each time:
 
-1. at 24 bytes, only for positions that are the least of some 27 in a row (any 50 bytes hold such a one, chosen by content alone);
+1. at 32 bytes, only for positions that are the least of some 19 in a row (any 50 bytes hold such a one, chosen by content alone);
    a window whose least position is unique in the corpus is unique itself and leaves;
 2. at 50 bytes, for the windows left, which are in order with the smallest document that has them.
 
 Documents are dealt to chunks of bounded size by their id. A chunk sends each name once, so neither a common passage nor a group of copies
-piles up anywhere; answers are one bit a name. Texts are shuffled once, and the three passes over a chunk read that one shuffle. Whole copies are
-found first and take no part.
+piles up anywhere; answers are one bit a name. Texts are shuffled once, and all passes over a chunk read that one shuffle. Whole copies are
+found first, by digests, and take no part.
 
 Defined results: null texts are empty; documents below the threshold lose nothing; equal ids do not cover each other; null ids count as
 smaller than all others, and as one document; repeated rows get equal results; an empty table gives an empty table. Extra columns stay out of the way.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from cladeforge.llm.common import salt, table
 
-THRESHOLD, SEED_LENGTH = 50, 24
+THRESHOLD, SEED_LENGTH = 50, 32
 SPAN = THRESHOLD - SEED_LENGTH + 1
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _ONE, _48 = np.uint64(1), np.uint64((1 << 48) - 1)
@@ -45,21 +45,13 @@ def _name(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-def ranks(data: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
-    """Ranks of all positions at each length (24, 50), by doubling; the arrays end where a string would."""
-    h = [(data.astype(np.uint64) + _ONE) * _C]
-    for i in range(5 if THRESHOLD in lengths else 4):
+def ranks(data: np.ndarray, length: int = SEED_LENGTH) -> np.ndarray:
+    """Ranks of all positions at a power of two, by doubling; the array ends where a string would."""
+    h = (data.astype(np.uint64) + _ONE) * _C
+    for i in range(length.bit_length() - 1):
         step = 1 << i
-        h.append(_name(h[-1][:-step], h[-1][step:]))
-    out = []
-    for n in lengths:
-        top = n.bit_length() - 1
-        rest = n - (1 << top)
-        if n == SEED_LENGTH:
-            out.append(_name(h[4][: len(data) - 23], h[3][16 : 16 + len(data) - 23]))
-        else:
-            out.append(_name(h[top][: len(data) - n + 1], h[top][rest : rest + len(data) - n + 1]))
-    return out
+        h = _name(h[:-step], h[step:])
+    return h
 
 
 def _sliding(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
@@ -84,25 +76,46 @@ class Chunk:
         self.first = first
         self.digests = {b: blake2b(b, digest_size=16).digest() for b in first}
 
-    def blocks(self, skip: set[bytes]) -> Iterator[tuple[list[tuple[int, bytes]], np.ndarray, np.ndarray, np.ndarray]]:
-        """(documents, bytes, document number of each byte, whether a window of the threshold starts there), in ascending id."""
-        rows = sorted((i, b) for b, i in self.first.items() if len(b) >= THRESHOLD and b not in skip)
-        at = 0
+    def read(self, copies: set[bytes]) -> list[Block]:
+        """Texts of the threshold or more that are no copies of a smaller document elsewhere, in ascending id."""
+        rows = sorted((i, b) for b, i in self.first.items() if len(b) >= THRESHOLD and b not in copies)
+        at, out = 0, []
         while at < len(rows):
             end, size = at, 0
             while end < len(rows) and (end == at or size + len(rows[end][1]) <= BLOCK_BYTES):
                 size += len(rows[end][1])
                 end += 1
-            part = rows[at:end]
-            lens = np.array([len(b) for _, b in part])
-            data = np.frombuffer(b"".join(b for _, b in part), np.uint8)
-            doc = np.repeat(np.arange(len(part)), lens)
-            n = len(data) - THRESHOLD + 1
-            yield part, data, doc, doc[:n] == doc[THRESHOLD - 1 :]
+            out.append(Block(rows[at:end]))
             at = end
+        return out
 
 
-def _seeds(data: np.ndarray, inside: np.ndarray, h: np.ndarray) -> np.ndarray:
+class Block:
+    """Some texts end to end: ids, number of the text of each window, whether a window is inside one text, ranks, seeds and their names."""
+
+    def __init__(self, part: list[tuple[int, bytes]]) -> None:
+        self.part = part
+        self.ids = np.array([i for i, _ in part], np.int64)
+        lens = np.array([len(b) for _, b in part])
+        self.bases = np.concatenate([[0], np.cumsum(lens)])
+        data = np.frombuffer(b"".join(b for _, b in part), np.uint8)
+        doc = np.repeat(np.arange(len(part), dtype=np.int32), lens)
+        n = len(data) - THRESHOLD + 1
+        self.doc, self.inside = doc[:n], doc[:n] == doc[THRESHOLD - 1 :]
+        self.h = ranks(data)
+        self.at = _seeds(self.inside, self.h)
+        self.seed_docs = doc[self.at]
+        self.names = _seed_names(self.h[self.at])
+
+    def windows(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, position, rank at the threshold) of the windows whose least position is repeated; a flag for each seed tells."""
+        h = self.h & ~_ONE
+        h[self.at[repeated]] |= _ONE
+        pos = np.flatnonzero(self.inside & ((_sliding(h, SPAN, np.minimum) & _ONE) == _ONE))
+        return self.doc[pos], pos, _name(self.h[pos], self.h[pos + THRESHOLD - SEED_LENGTH])
+
+
+def _seeds(inside: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Positions that are the least of a window inside a document."""
     h = h & ~_ONE
     least = np.where(inside, _sliding(h, SPAN, np.minimum), np.uint64(0))
@@ -129,6 +142,7 @@ def _unpack48(b: bytes) -> np.ndarray:
 
 def _split(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """(part, indices) in rising order of part and index."""
+    part = part.astype(np.uint16 if parts < 1 << 16 else np.int64)
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
     for p in range(parts):
@@ -136,56 +150,48 @@ def _split(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
             yield p, order[cuts[p] : cuts[p + 1]]
 
 
-class Passes:
-    """What is the same each time a chunk is read: its copies, seeds and windows in a fixed order."""
-
-    def __init__(self, parts: int) -> None:
-        self.parts = parts
-
-    def texts(self, chunk: Chunk) -> Iterator[tuple[int, list[bytes]]]:
-        by: dict[int, list[bytes]] = {}
-        for b in sorted(chunk.first, key=chunk.digests.__getitem__):
-            by.setdefault(int.from_bytes(chunk.digests[b][:8], "little") % self.parts, []).append(b)
-        yield from sorted(by.items())
-
-    def seeds(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct seed names, sorted, and whether two documents of the chunk have one."""
-        names, docs, base = [], [], 0
-        for part, data, doc, inside in chunk.blocks(set()):
-            (h,) = ranks(data, (SEED_LENGTH,))
-            at = _seeds(data, inside, h)
-            names.append(_seed_names(h[at]))
-            docs.append(doc[at] + base)
-            base += len(part)
-        if not names:
-            return np.empty(0, np.uint64), np.empty(0, bool)
-        names, docs = np.concatenate(names), np.concatenate(docs)
-        order = np.argsort(names, kind="stable")  # documents stay in order among equal names
-        names, docs = names[order], docs[order]
-        starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-        ends = np.concatenate([starts[1:], [len(names)]]) - 1
-        return names[starts], docs[starts] != docs[ends]
-
-    def windows(self, chunk: Chunk, skip: set[bytes], repeated: np.ndarray) -> Iterator[tuple[list[tuple[int, bytes]], np.ndarray, np.ndarray, np.ndarray]]:
-        """(documents, document number, position, name) of the windows whose least position is repeated, block by block."""
-        for part, data, doc, inside in chunk.blocks(skip):
-            h, whole = ranks(data, (SEED_LENGTH, THRESHOLD))
-            at = _seeds(data, inside, h)
-            h &= ~_ONE
-            if len(repeated):
-                names = _seed_names(h[at])
-                found = np.searchsorted(repeated, names)
-                found[found == len(repeated)] = 0
-                h[at[repeated[found] == names]] |= _ONE
-            pos = np.flatnonzero(inside & ((_sliding(h, SPAN, np.minimum) & _ONE) == _ONE))
-            yield part, doc[pos], pos, whole[pos]
+def _distinct(names: list[np.ndarray], docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code of each, distinct names by first appearance, document of the first appearance)."""
+    if not names:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    names, docs = np.concatenate(names), np.concatenate(docs)
+    codes, distinct = pd.factorize(names)
+    first = np.empty(len(distinct), docs.dtype)
+    first[codes[::-1]] = docs[::-1]
+    return codes, distinct, first
+
+
+def _texts(chunk: Chunk, parts: int) -> list[tuple[int, list[bytes]]]:
+    by: dict[int, list[bytes]] = {}
+    for b in sorted(chunk.first, key=chunk.digests.__getitem__):
+        by.setdefault(int.from_bytes(chunk.digests[b][:8], "little") % parts, []).append(b)
+    return sorted(by.items())
+
+
+class Seeds:
+    """The seeds of some blocks: their codes, distinct names by first appearance, and whether two documents here have one."""
+
+    def __init__(self, blocks: list[Block]) -> None:
+        docs = [b.ids[b.seed_docs] for b in blocks]
+        self.codes, self.names, first = _distinct([b.names for b in blocks], docs)
+        self.two = np.zeros(len(self.names), bool)
+        if blocks:
+            self.two[self.codes[np.concatenate(docs) != first[self.codes]]] = True
 
 
 def _answers(made: pd.DataFrame) -> dict[tuple[str, int], np.ndarray]:
     return {(k, p): np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for k, p, b in zip(made["kind"], made["part"], made["bits"], strict=True)}
 
 
-SENT = "part int, c int, kind string, names binary, docs binary"
+def _told(names: np.ndarray, parts: int, kind: str, answers: dict[tuple[str, int], np.ndarray]) -> np.ndarray:
+    """The answer to each name, as it was sent."""
+    out = np.zeros(len(names), bool)
+    for p, at in _split(names % np.uint64(parts), parts):
+        out[at] = answers[(kind, p)][: len(at)]
+    return out
+
+
+SENT = "part int, c int, names binary, docs binary"
 ANSWER = "c int, kind string, part int, bits binary"
 
 
@@ -195,84 +201,83 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", c
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, parts = max(least, -(-total // chunk_bytes)), max(least, -(-total // part_bytes))
     rows = rows.select(salt(chunks, "id").alias("c"), "id", "text")
-    passes = Passes(parts)
 
     def ids(pdf: pd.DataFrame) -> np.ndarray:
         return pdf["id"].astype("Int64").fillna(NULL_ID).to_numpy(np.int64)
 
-    def send_seeds(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def copies_of(chunk: Chunk, answers: dict[tuple[str, int], np.ndarray]) -> set[bytes]:
+        return {b for p, bs in _texts(chunk, parts) for b, yes in zip(bs, answers[("text", p)], strict=False) if yes}
+
+    def candidates(blocks: list[Block], answers: dict[tuple[str, int], np.ndarray]) -> list[tuple[Block, np.ndarray, np.ndarray, np.ndarray]]:
+        """The windows of each block that may be repeated."""
+        seeds = Seeds(blocks)
+        repeated, at, out = _told(seeds.names, parts, "seed", answers)[seeds.codes], 0, []
+        for block in blocks:
+            out.append((block, *block.windows(repeated[at : at + len(block.at)])))
+            at += len(block.at)
+        return out
+
+    def send_texts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         chunk = Chunk(ids(pdf), list(pdf["text"]))
-        out = [(p, key[0], "text", b"".join(chunk.digests[b] for b in bs), np.array([chunk.first[b] for b in bs], "<i8").tobytes()) for p, bs in passes.texts(chunk)]
-        names, two = passes.seeds(chunk)
-        for p, at in _split((names % np.uint64(parts)).astype(np.int64), parts):
-            out.append((p, key[0], "seed", _pack48(names[at]), np.packbits(two[at]).tobytes()))
-        return pd.DataFrame(out, columns=["part", "c", "kind", "names", "docs"])
+        out = [(p, key[0], b"".join(chunk.digests[b] for b in bs), np.array([chunk.first[b] for b in bs], "<i8").tobytes()) for p, bs in _texts(chunk, parts)]
+        return pd.DataFrame(out, columns=["part", "c", "names", "docs"])
 
-    def answer_seeds(pdf: pd.DataFrame) -> pd.DataFrame:
+    def answer_texts(pdf: pd.DataFrame) -> pd.DataFrame:
         part, out = int(pdf["part"].iloc[0]), []
-        pdf = pdf.sort_values("c")
-        seeds = pdf[pdf["kind"] == "seed"]
-        if len(seeds):
-            lists = [_unpack48(b) for b in seeds["names"]]
-            two = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[: len(x)] for b, x in zip(seeds["docs"], lists, strict=True)]).astype(bool)
-            names, back, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-            often = count > 1
-            often[back[two]] = True
-            bits, at = often[back], 0
-            for c, x in zip(seeds["c"], lists, strict=True):
-                out.append((c, "seed", part, np.packbits(bits[at : at + len(x)]).tobytes()))
-                at += len(x)
-        texts = pdf[pdf["kind"] == "text"]
         smallest: dict[bytes, int] = {}
-        split = [([n[i : i + 16] for i in range(0, len(n), 16)], np.frombuffer(d, "<i8").tolist()) for n, d in zip(texts["names"], texts["docs"], strict=True)]
+        split = [([n[i : i + 16] for i in range(0, len(n), 16)], np.frombuffer(d, "<i8").tolist()) for n, d in zip(pdf["names"], pdf["docs"], strict=True)]
         for ns, ds in split:
             for n, d in zip(ns, ds, strict=True):
                 if d < smallest.get(n, d + 1):
                     smallest[n] = d
-        for c, (ns, ds) in zip(texts["c"], split, strict=True):
+        for c, (ns, ds) in zip(pdf["c"], split, strict=True):
             out.append((c, "text", part, np.packbits([smallest[n] < d for n, d in zip(ns, ds, strict=True)]).tobytes()))
         return pd.DataFrame(out, columns=["c", "kind", "part", "bits"])
 
-    def told(chunk: Chunk, answers: dict[tuple[str, int], np.ndarray]) -> tuple[set[bytes], np.ndarray]:
-        """The texts that a smaller document elsewhere has whole, and the repeated seed names."""
-        copies = {b for p, bs in passes.texts(chunk) for b, yes in zip(bs, answers[("text", p)], strict=False) if yes}
-        names, _ = passes.seeds(chunk)
-        keep = np.zeros(len(names), bool)
-        for p, at in _split((names % np.uint64(parts)).astype(np.int64), parts):
-            keep[at] = answers[("seed", p)][: len(at)]
-        return copies, names[keep]
-
-    def candidates(chunk: Chunk, copies: set[bytes], repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-        """Distinct window names with the smallest id here, by id and name; and the blocks with all windows."""
-        blocks = [(part, doc, pos, name) for part, doc, pos, name in passes.windows(chunk, copies, repeated)]
-        if not blocks:
-            return np.empty(0, np.uint64), np.empty(0, np.int64), []
-        names = np.concatenate([b[3] for b in blocks])
-        docs = np.concatenate([np.array([i for i, _ in part], np.int64)[doc] for part, doc, _, _ in blocks])
-        uniq, first = np.unique(names, return_index=True)  # blocks are in ascending id, so the first is the smallest
-        order = np.lexsort((uniq, docs[first]))
-        return uniq[order], docs[first][order], blocks
+    def send_seeds(key: tuple, pdf: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(pdf):
+            chunk = Chunk(ids(pdf), list(pdf["text"]))
+            seeds = Seeds(chunk.read(copies_of(chunk, _answers(made))))
+            for p, at in _split(seeds.names % np.uint64(parts), parts):
+                out.append((p, key[0], _pack48(seeds.names[at]), np.packbits(seeds.two[at]).tobytes()))
+        return pd.DataFrame(out, columns=["part", "c", "names", "docs"])
+
+    def answer_seeds(pdf: pd.DataFrame) -> pd.DataFrame:
+        part, out = int(pdf["part"].iloc[0]), []
+        lists = [_unpack48(b) for b in pdf["names"]]
+        two = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[: len(x)] for b, x in zip(pdf["docs"], lists, strict=True)]).astype(bool)
+        codes, _ = pd.factorize(np.concatenate(lists))
+        often = np.bincount(codes) > 1
+        often[codes[two]] = True
+        bits, at = often[codes], 0
+        for c, x in zip(pdf["c"], lists, strict=True):
+            out.append((c, "seed", part, np.packbits(bits[at : at + len(x)]).tobytes()))
+            at += len(x)
+        return pd.DataFrame(out, columns=["c", "kind", "part", "bits"])
 
     def send_windows(key: tuple, pdf: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
+        """Distinct windows with the smallest id here; blocks and texts are in ascending id, so the first appearance has it, and ids come in runs."""
         out = []
         if len(pdf):
-            chunk = Chunk(ids(pdf), list(pdf["text"]))
-            copies, repeated = told(chunk, _answers(made))
-            names, docs, _ = candidates(chunk, copies, repeated)
-            for p, at in _split((names % np.uint64(parts)).astype(np.int64), parts):
-                starts = np.flatnonzero(np.concatenate([[True], docs[at][1:] != docs[at][:-1]]))
-                runs = np.stack([docs[at][starts], np.diff(np.concatenate([starts, [len(at)]]))])
-                out.append((p, key[0], "window", names[at].astype("<u8").tobytes(), runs.astype("<i8").tobytes()))
-        return pd.DataFrame(out, columns=["part", "c", "kind", "names", "docs"])
+            chunk, answers = Chunk(ids(pdf), list(pdf["text"])), _answers(made)
+            found = candidates(chunk.read(copies_of(chunk, answers)), answers)
+            _, names, docs = _distinct([name for *_, name in found], [block.ids[doc] for block, doc, *_ in found])
+            for p, at in _split(names % np.uint64(parts), parts):
+                own = docs[at]
+                starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                runs = np.stack([own[starts], np.diff(np.concatenate([starts, [len(at)]]))])
+                out.append((p, key[0], names[at].astype("<u8").tobytes(), runs.astype("<i8").tobytes()))
+        return pd.DataFrame(out, columns=["part", "c", "names", "docs"])
 
     def answer_windows(pdf: pd.DataFrame) -> pd.DataFrame:
         part, out = int(pdf["part"].iloc[0]), []
         lists = [np.frombuffer(b, "<u8") for b in pdf["names"]]
         docs = np.concatenate([np.repeat(*np.frombuffer(b, "<i8").reshape(2, -1)) for b in pdf["docs"]])
-        _, back = np.unique(np.concatenate(lists), return_inverse=True)
-        smallest = np.full(back.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(smallest, back, docs)
-        bits, at = smallest[back] < docs, 0
+        codes, distinct = pd.factorize(np.concatenate(lists))
+        smallest = np.full(len(distinct), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, codes, docs)
+        bits, at = smallest[codes] < docs, 0
         for c, x in zip(pdf["c"], lists, strict=True):
             out.append((c, "window", part, np.packbits(bits[at : at + len(x)]).tobytes()))
             at += len(x)
@@ -280,25 +285,21 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", c
 
     def removed(chunk: Chunk, answers: dict[tuple[str, int], np.ndarray]) -> dict[bytes, list[tuple[int, int]]]:
         """Spans to remove from each distinct text, under its smallest id here."""
-        copies, repeated = told(chunk, answers)
-        names, docs, blocks = candidates(chunk, copies, repeated)
-        elsewhere = np.zeros(len(names), bool)
-        for p, at in _split((names % np.uint64(parts)).astype(np.int64), parts):
-            elsewhere[at] = answers[("window", p)][: len(at)]
-        by_name = np.argsort(names)
-        names, docs, elsewhere = names[by_name], docs[by_name], elsewhere[by_name]
-        out = {b: [(0, len(b))] for b in copies if len(b) >= THRESHOLD}
-        for part, doc, pos, name in blocks:
-            at = np.searchsorted(names, name)
-            own = np.array([i for i, _ in part], np.int64)[doc]
-            hit = elsewhere[at] | (docs[at] < own)
+        copies = copies_of(chunk, answers)
+        found = candidates(chunk.read(copies), answers)
+        codes, names, docs = _distinct([name for *_, name in found], [block.ids[doc] for block, doc, *_ in found])
+        elsewhere = _told(names, parts, "window", answers)
+        out, at = {b: [(0, len(b))] for b in copies if len(b) >= THRESHOLD}, 0
+        for block, doc, pos, _ in found:
+            own = codes[at : at + len(pos)]
+            at += len(pos)
+            hit = elsewhere[own] | (docs[own] < block.ids[doc])
             doc, pos = doc[hit], pos[hit]
-            bases = np.cumsum([0, *(len(b) for _, b in part)])
             if len(pos):
                 new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + THRESHOLD)]))
                 last = np.concatenate([new[1:], [len(pos)]]) - 1
                 for d, s, e in zip(doc[new].tolist(), pos[new].tolist(), (pos[last] + THRESHOLD).tolist(), strict=True):
-                    out.setdefault(part[d][1], []).append((s - int(bases[d]), e - int(bases[d])))
+                    out.setdefault(block.part[d][1], []).append((s - int(block.bases[d]), e - int(block.bases[d])))
         return out
 
     def finish(key: tuple, pdf: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
@@ -315,9 +316,12 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", c
                 out.append((None if i == NULL_ID else i, len(b), len(b) - len(kept), len(spans), sha256(kept).hexdigest(), np.array(spans, np.int64).reshape(-1).tolist()))
         return pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]).astype({"id": "Int64"})
 
-    seeds = rows.groupBy("c").applyInPandas(send_seeds, SENT).groupBy("part").applyInPandas(answer_seeds, ANSWER)
-    windows = rows.groupBy("c").cogroup(seeds.groupBy("c")).applyInPandas(send_windows, SENT).groupBy("part").applyInPandas(answer_windows, ANSWER)
-    done = rows.groupBy("c").cogroup(seeds.unionByName(windows).groupBy("c"))
+    own = rows.groupBy("c")
+    texts = own.applyInPandas(send_texts, SENT).groupBy("part").applyInPandas(answer_texts, ANSWER)
+    seeds = own.cogroup(texts.groupBy("c")).applyInPandas(send_seeds, SENT).groupBy("part").applyInPandas(answer_seeds, ANSWER)
+    known = texts.unionByName(seeds)
+    windows = own.cogroup(known.groupBy("c")).applyInPandas(send_windows, SENT).groupBy("part").applyInPandas(answer_windows, ANSWER)
+    done = own.cogroup(known.unionByName(windows).groupBy("c"))
     return done.applyInPandas(finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>").withColumnRenamed("id", key)
 
 
