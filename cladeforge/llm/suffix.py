@@ -64,11 +64,39 @@ def _sliding(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     return f(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+PACKED = "c int, ids binary, sizes binary, data binary"
+
+
+def pack(batches: Iterator[pd.DataFrame], flush_bytes: int = 8 << 20) -> Iterator[pd.DataFrame]:
+    """Documents (c, id, text) as compressed bundles by chunk, so that what is shuffled is small."""
+    import zstandard
+
+    small = zstandard.ZstdCompressor(level=3)
+    held: dict[int, tuple[list[int], list[bytes]]] = {}
+    size = 0
+
+    def out() -> pd.DataFrame:
+        rows = [(c, np.array(ids, "<i8").tobytes(), np.array([len(b) for b in texts], "<i8").tobytes(), small.compress(b"".join(texts))) for c, (ids, texts) in held.items()]
+        return pd.DataFrame(rows, columns=["c", "ids", "sizes", "data"])
+
+    for pdf in batches:
+        for c, i, t in zip(pdf["c"].to_numpy(), pdf["id"].astype("Int64").fillna(NULL_ID).to_numpy(np.int64), pdf["text"], strict=True):
+            ids, texts = held.setdefault(int(c), ([], []))
+            ids.append(int(i))
+            texts.append(t.encode("utf-8", "surrogatepass"))
+            size += len(texts[-1])
+            if size >= flush_bytes:
+                yield out()
+                held, size = {}, 0
+    if held:
+        yield out()
+
+
 class Chunk:
     """The distinct texts of a chunk, each under its smallest id here."""
 
-    def __init__(self, ids: np.ndarray, texts: list[str | None]) -> None:
-        self.rows = [(int(i), (t or "").encode("utf-8", "surrogatepass")) for i, t in zip(ids, texts, strict=True)]
+    def __init__(self, rows: list[tuple[int, bytes]]) -> None:
+        self.rows = rows
         first: dict[bytes, int] = {}
         for i, b in self.rows:
             if i < first.get(b, i + 1):
@@ -76,6 +104,18 @@ class Chunk:
         self.first = first
         self.digests = {b: blake2b(b, digest_size=16).digest() for b in first}
 
+    @classmethod
+    def of(cls, pdf: pd.DataFrame) -> Chunk:
+        import zstandard
+
+        large, rows = zstandard.ZstdDecompressor(), []
+        for ids, sizes, data in zip(pdf["ids"], pdf["sizes"], pdf["data"], strict=True):
+            whole, at = large.decompress(data), 0
+            for i, n in zip(np.frombuffer(ids, "<i8").tolist(), np.frombuffer(sizes, "<i8").tolist(), strict=True):
+                rows.append((i, whole[at : at + n]))
+                at += n
+        return cls(rows)
+
     def read(self, copies: set[bytes]) -> list[Block]:
         """Texts of the threshold or more that are no copies of a smaller document elsewhere, in ascending id."""
         rows = sorted((i, b) for b, i in self.first.items() if len(b) >= THRESHOLD and b not in copies)
@@ -202,9 +242,6 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", c
     chunks, parts = max(least, -(-total // chunk_bytes)), max(least, -(-total // part_bytes))
     rows = rows.select(salt(chunks, "id").alias("c"), "id", "text")
 
-    def ids(pdf: pd.DataFrame) -> np.ndarray:
-        return pdf["id"].astype("Int64").fillna(NULL_ID).to_numpy(np.int64)
-
     def copies_of(chunk: Chunk, answers: dict[tuple[str, int], np.ndarray]) -> set[bytes]:
         return {b for p, bs in _texts(chunk, parts) for b, yes in zip(bs, answers[("text", p)], strict=False) if yes}
 
@@ -218,7 +255,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", c
         return out
 
     def send_texts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = Chunk(ids(pdf), list(pdf["text"]))
+        chunk = Chunk.of(pdf)
         out = [(p, key[0], b"".join(chunk.digests[b] for b in bs), np.array([chunk.first[b] for b in bs], "<i8").tobytes()) for p, bs in _texts(chunk, parts)]
         return pd.DataFrame(out, columns=["part", "c", "names", "docs"])
 
@@ -237,7 +274,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", c
     def send_seeds(key: tuple, pdf: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(pdf):
-            chunk = Chunk(ids(pdf), list(pdf["text"]))
+            chunk = Chunk.of(pdf)
             seeds = Seeds(chunk.read(copies_of(chunk, _answers(made))))
             for p, at in _split(seeds.names % np.uint64(parts), parts):
                 out.append((p, key[0], _pack48(seeds.names[at]), np.packbits(seeds.two[at]).tobytes()))
@@ -260,7 +297,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", c
         """Distinct windows with the smallest id here; blocks and texts are in ascending id, so the first appearance has it, and ids come in runs."""
         out = []
         if len(pdf):
-            chunk, answers = Chunk(ids(pdf), list(pdf["text"])), _answers(made)
+            chunk, answers = Chunk.of(pdf), _answers(made)
             found = candidates(chunk.read(copies_of(chunk, answers)), answers)
             _, names, docs = _distinct([name for *_, name in found], [block.ids[doc] for block, doc, *_ in found])
             for p, at in _split(names % np.uint64(parts), parts):
@@ -305,7 +342,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", c
     def finish(key: tuple, pdf: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(pdf):
-            chunk = Chunk(ids(pdf), list(pdf["text"]))
+            chunk = Chunk.of(pdf)
             gone = removed(chunk, _answers(made))
             for i, b in chunk.rows:
                 spans = gone.get(b, [])
@@ -316,7 +353,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", c
                 out.append((None if i == NULL_ID else i, len(b), len(b) - len(kept), len(spans), sha256(kept).hexdigest(), np.array(spans, np.int64).reshape(-1).tolist()))
         return pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]).astype({"id": "Int64"})
 
-    own = rows.groupBy("c")
+    own = rows.mapInPandas(pack, PACKED).groupBy("c")
     texts = own.applyInPandas(send_texts, SENT).groupBy("part").applyInPandas(answer_texts, ANSWER)
     seeds = own.cogroup(texts.groupBy("c")).applyInPandas(send_seeds, SENT).groupBy("part").applyInPandas(answer_seeds, ANSWER)
     known = texts.unionByName(seeds)
