@@ -100,11 +100,12 @@ class Tree:
 
 def successors(ids: DataFrame, width: int = 4096) -> DataFrame:
     """(id, next): the next larger id of each distinct id, null for the last. Windows hold ``width`` ids at most; the first of each range goes up a level."""
-    ids = ids.select("id").distinct().withColumn("range", F.floor(F.col("id") / width).cast("long"))
-    edge = ids.agg(F.min("range").alias("lo"), F.max("range").alias("hi")).first()
+    ids = ids.select("id").distinct()
+    edge = ids.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+    if edge["lo"] is None or edge["hi"] - edge["lo"] < width:
+        return ids.withColumn("next", F.lead("id").over(Window.orderBy("id")))
+    ids = ids.withColumn("range", F.expr(f"(id - ({edge['lo']}L)) div {width}"))
     inside = ids.withColumn("next", F.lead("id").over(Window.partitionBy("range").orderBy("id")))
-    if edge["lo"] is None or edge["lo"] == edge["hi"]:
-        return inside.select("id", "next")
     firsts = ids.groupBy("range").agg(F.min("id").alias("first"))
     above = successors(firsts.select(F.col("range").alias("id")), width)
     after = above.where("next is not null").join(firsts.withColumnRenamed("range", "next"), "next").select(F.col("id").alias("range"), F.col("first").alias("follow"))
