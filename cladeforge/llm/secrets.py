@@ -200,3 +200,36 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter("found", _is(k))).cast("long").alias(f"n_{k}") for k in base]
     own = F.filter("found", lambda s: s["kind"].isin(base))
     return found.select(F.col("key").alias("doc_id"), *counts, F.sha2(written(own), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+
+
+def _sql_pattern(pattern: str) -> str:
+    """The pattern without an inline flag: both cases of each letter of (?i:...) are written out, so only A-Z fold."""
+
+    def both(m: re.Match) -> str:
+        return "(?:" + "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else c for c in m[1]) + ")"
+
+    return re.sub(r"\(\?i:([^()]*)\)", both, pattern).replace("'", "''")
+
+
+def _sql() -> str:
+    steps = []
+    for i, rule in enumerate(RULES):
+        p = _sql_pattern(rule.pattern)
+        value = f"length(regexp_extract(step, '(?s)^.*?({p})$', {1 + rule.value}))"
+        steps.append(
+            f"SELECT doc_id, {i} AS o, '{rule.kind}' AS kind, n, length(step) AS l, length(regexp_extract(step, '(?s)^.*?({p})$', 1)) AS m, {value} >= {rule.least} AS kept FROM "
+            f"(SELECT doc_id, unnest(x) AS step, unnest(range(1, len(x) + 1)) AS n FROM (SELECT doc_id, regexp_extract_all(t, '(?s).*?{p}') AS x FROM d))"
+        )
+    base = ", ".join(f"'{r.kind}'" for r in RULES if r.base)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in RULES if r.base)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(steps)}),
+e AS (SELECT doc_id, o, kind, m, kept, sum(l) OVER (PARTITION BY doc_id, o ORDER BY n) AS fin FROM s),
+f AS (SELECT doc_id, o, kind, fin - m AS start, fin, kind || ':' || CAST(fin - m AS BIGINT) || ':' || CAST(fin AS BIGINT) AS w FROM e WHERE kept),
+g AS (SELECT doc_id, {counts}, string_agg(w, ',' ORDER BY start, o) AS spans, string_agg(w, ',' ORDER BY start, o) FILTER (kind IN ({base})) AS own FROM f GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULES if r.base)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+OP1_SQL = _sql()
