@@ -531,7 +531,11 @@ def batch_merge_full_outer(spark, d):
     return analytics.merge_batches(a, b, "nation")
 
 
-@query(None)
+@query("""WITH RECURSIVE r AS (SELECT o_custkey, o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+f AS (SELECT o_custkey, o_orderkey, n, size AS s, 0 AS batch FROM r WHERE n = 1 UNION ALL
+  SELECT r.o_custkey, r.o_orderkey, r.n, CASE WHEN f.s > 0 AND f.s + r.size > 400000 THEN r.size ELSE f.s + r.size END, f.batch + CASE WHEN f.s > 0 AND f.s + r.size > 400000 THEN 1 ELSE 0 END
+  FROM f JOIN r ON r.o_custkey = f.o_custkey AND r.n = f.n + 1)
+SELECT o_custkey, o_orderkey, batch FROM f""")
 def greedy_batches(spark, d):
     o = load(spark, d, "orders").select("o_custkey", "o_orderkey", F.round("o_totalprice").cast("bigint").alias("size"))
     return analytics.greedy_batches(o, "o_custkey", "o_orderkey", "size", 400_000)
