@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeforge.functions import colours, kmers, names
-from cladeforge.operators import analytics, build, classify, phylo, phylogeny, results, taxonomy
+from cladeforge.operators import analytics, build, classify, drawing, phylo, phylogeny, results, taxonomy
 from cladeforge.plans import fixtures as fx
 from cladeforge.plans.fixtures import K, load, sql
 
@@ -673,3 +673,14 @@ def colour_scores(spark, d):
     c = _counts(spark, d).select("sample", "node", (F.col("sl") + F.col("ml")).alias("cnt")).where("node > 0")
     scored = c.join(results.min_max(c), "sample").where("sample in ('AUTOMOBILE', 'BUILDING') and cnt > 0")
     return scored.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(colours.opacity(F.col("cnt").cast("double"), F.col("least"), F.col("most"))), 9).alias("q"))
+
+
+@query(sql(f"""WITH s AS (SELECT sample, node, CAST(sl + ml AS DOUBLE) AS c FROM cnt WHERE node > 0), x AS (SELECT sample, max(c) AS most FROM s GROUP BY ALL),
+q AS (SELECT node, sample, c / most AS q, CASE sample WHEN 'AUTOMOBILE' THEN 'FF0000' ELSE '0040FF' END AS c FROM s JOIN x USING (sample) WHERE sample IN ('AUTOMOBILE', 'BUILDING')),
+o AS (SELECT node, sample, {_opaque_sql('c', 'q')} AS c FROM q),
+w AS (SELECT node, max(CASE sample WHEN 'AUTOMOBILE' THEN c END) AS a, max(CASE sample WHEN 'BUILDING' THEN c END) AS b FROM o GROUP BY node),
+m AS (SELECT node, b, CASE WHEN a IS NULL THEN 'FFFFFF' ELSE {_mix_sql("'FFFFFF'", 'a')} END AS one FROM w)
+SELECT node, CASE WHEN b IS NULL THEN one ELSE {_mix_sql('one', 'b')} END AS colour FROM m""", vote="0.1"))
+def draw_colours(spark, d):
+    c = _counts(spark, d).select("sample", "node", (F.col("sl") + F.col("ml")).alias("cnt")).where("node > 0")
+    return drawing.colour_table(c, {"AUTOMOBILE": "#FF0000", "BUILDING": "#0040FF"})
