@@ -126,8 +126,7 @@ class Database:
         else:
             hits = classify.look_up(classify.read_kmers(found, self.config.k), table)
         nodes = self.spark.read.parquet(self.folders.nodes)
-        voted = classify.vote(hits, nodes, alpha, found).join(found.select(*classify.KEYS, F.length("seq").alias("length")), classify.KEYS)
-        result = voted.join(classify.run_lengths(hits), classify.KEYS, "left").select("sample", "code", "read_id", "node", "length", "hits")
+        result = classify.classify_hits(hits, nodes, alpha)
         folders = ResultFolders(out)
         reports.write_raw(result, folders.of("phy", "raw"))
         raw = reports.read_raw(self.spark, folders.of("phy", "raw"))

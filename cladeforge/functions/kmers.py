@@ -65,9 +65,10 @@ def at_offsets(seq: Column, offsets: Column, k: int) -> Column:
     return F.transform(offsets, lambda p: F.substring(seq, p + 1, F.lit(k)))
 
 
-def explode_windows(df: DataFrame, keys: list[str], k: int, seq: str = "seq") -> DataFrame:
-    """keys, ordinal (of valid windows), kmer (canonical)."""
-    return df.select(*keys, F.posexplode(windows(seq, k)).alias("ordinal", "word")).select(*keys, "ordinal", canonical("word").alias("kmer"))
+def explode_windows(df: DataFrame, keys: list[str], k: int, seq: str = "seq", outer: bool = False) -> DataFrame:
+    """keys, ordinal (of valid windows), kmer (canonical). outer: a row without valid windows stays, with nulls."""
+    explode = F.posexplode_outer if outer else F.posexplode
+    return df.select(*keys, explode(windows(seq, k)).alias("ordinal", "word")).select(*keys, "ordinal", canonical("word").alias("kmer"))
 
 
 def explode_offsets(df: DataFrame, keys: list[str], k: int, seq: str = "seq", stretch: int = 4096) -> DataFrame:

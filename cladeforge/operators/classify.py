@@ -7,7 +7,7 @@ terminal, several S at their lowest common ancestor.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeforge.functions import kmers, names
@@ -18,8 +18,8 @@ KEYS = ["sample", "read_id"]
 
 
 def read_kmers(reads: DataFrame, k: int) -> DataFrame:
-    """(sample, read_id, length, ordinal, kmer)."""
-    return kmers.explode_windows(reads.withColumn("length", F.length("seq")), [*KEYS, "length"], k)
+    """(sample, read_id, length, ordinal, kmer); a read without valid k-mers is one row of nulls, so nothing needs to join the reads again."""
+    return kmers.explode_windows(reads.withColumn("length", F.length("seq")), [*KEYS, "length"], k, outer=True)
 
 
 def look_up(found: DataFrame, table: DataFrame) -> DataFrame:
@@ -32,37 +32,45 @@ def node_counts(hits: DataFrame) -> DataFrame:
     return hits.where("node is not null").groupBy(*KEYS, "node").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def run_lengths(hits: DataFrame) -> DataFrame:
-    """(sample, read_id, hits): runs of equal nodes in read order; unknown k-mers neither break nor join a run's order."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "node"))), lambda x: x["node"])
-    kind = "array<struct<node:int,cnt:bigint>>"
+RUNS = "array<struct<node:int,cnt:bigint>>"
+
 
-    def step(acc, node):
-        last = F.element_at(acc, -1)
-        one = F.array(F.struct(node.cast("int").alias("node"), F.lit(1).cast("bigint").alias("cnt"))).cast(kind)
-        grown = F.array(F.struct(node.cast("int").alias("node"), (last["cnt"] + 1).alias("cnt"))).cast(kind)
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["node"] == node), F.concat(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.concat(acc, one))
+def _runs(nodes: Column) -> Column:
+    """Runs of equal nodes of an ordered array."""
 
-    def safe(acc, node):
-        return F.when(F.size(acc) == 0, F.array(F.struct(node.cast("int").alias("node"), F.lit(1).cast("bigint").alias("cnt"))).cast(kind)).otherwise(step(acc, node))
+    def one(node: Column, cnt: Column) -> Column:
+        return F.array(F.struct(node.cast("int").alias("node"), cnt.cast("bigint").alias("cnt"))).cast(RUNS)
 
-    runs = hits.where("node is not null").groupBy(*KEYS).agg(ordered.alias("_nodes"))
-    return runs.select(*KEYS, F.aggregate("_nodes", F.array().cast(kind), safe).alias("hits"))
+    def step(acc: Column, node: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        return F.when(last["node"] == node, F.concat(F.slice(acc, 1, F.size(acc) - 1), one(node, last["cnt"] + 1))).otherwise(F.concat(acc, one(node, F.lit(1))))
 
+    return F.aggregate(nodes, F.array().cast(RUNS), step)
 
-def vote(hits: DataFrame, nodes: DataFrame, alpha: float = ALPHA, reads: DataFrame | None = None) -> DataFrame:
-    """(sample, read_id, code, node, n, m) from looked-up k-mers; ``reads`` adds those without any valid k-mer.
+
+def run_lengths(hits: DataFrame) -> DataFrame:
+    """(sample, read_id, hits): runs of equal nodes in read order; unknown k-mers neither break nor join a run's order."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "node"))), lambda x: x["node"])
+    return hits.where("node is not null").groupBy(*KEYS).agg(ordered.alias("_nodes")).select(*KEYS, _runs(F.col("_nodes")).alias("hits"))
+
+
+def vote(hits: DataFrame, nodes: DataFrame, alpha: float = ALPHA, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(sample, read_id, code, node, n, m) from looked-up k-mers, and the columns of the read to keep.
 
     Counts are combined before the shuffle on the read; the vote is then one array expression a read."""
-    counted = hits.groupBy(*KEYS, "node").agg(F.count(F.lit(1)).alias("cnt"))
+    keys = [*KEYS, *keep]
+    counted = hits.groupBy(*keys, "node").agg(F.count("kmer").alias("cnt"))
     ends = nodes.select(F.col("node_id").alias("node"), F.col("subtree_end").alias("end"))
     counted = counted.join(phylo.sized(ends), "node", "left")
     known = F.col("node").isNotNull()
-    per = counted.groupBy(*KEYS).agg(
+    per = counted.groupBy(*keys).agg(
         F.sum("cnt").cast("bigint").alias("n"), F.coalesce(F.sum(F.when(known, F.col("cnt"))), F.lit(0)).cast("bigint").alias("m"), F.collect_list(F.when(known, F.struct("node", "end", "cnt"))).alias("h")
     )
-    if reads is not None:
-        per = reads.select(*KEYS).join(per, KEYS, "left").select(*KEYS, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("h", F.array().cast("array<struct<node:int,end:int,cnt:bigint>>")).alias("h"))
+    return _decide(per, nodes, alpha).select(*keys, "code", "node", "n", "m")
+
+
+def _decide(per: DataFrame, nodes: DataFrame, alpha: float) -> DataFrame:
+    """Adds code and node to rows of n, m and h (array of node, end of its subtree, cnt)."""
     target = F.transform("h", lambda x: F.struct(F.array_max(F.transform(F.filter("h", lambda y: (y["node"] >= x["node"]) & (y["node"] <= x["end"])), lambda y: y["node"])).alias("t"), x["cnt"].alias("cnt")))
     per = per.withColumn("_t", target).withColumn("required", F.ceil(F.lit(alpha).cast("float") * F.col("n").cast("float")))
     credit = lambda t: F.aggregate(F.filter("_t", lambda x: x["t"] == t), F.lit(0).cast("bigint"), lambda a, x: a + x["cnt"])
@@ -71,16 +79,26 @@ def vote(hits: DataFrame, nodes: DataFrame, alpha: float = ALPHA, reads: DataFra
     per = phylo.lca_pairs(per, nodes, "lo", "hi", "_lca")
     code = F.when(F.col("m") == 0, "U").when((F.col("m") < F.col("n")) | (F.size("_c") != 1), "S").otherwise("C")
     node = F.when(F.col("m") == 0, 0).when(F.size("_c") == 0, 1).otherwise(F.col("_lca"))
-    return per.select(*KEYS, code.alias("code"), node.cast("int").alias("node"), "n", "m")
+    return per.withColumn("code", code).withColumn("node", node.cast("int"))
 
 
 def classify(reads: DataFrame, table: DataFrame, nodes: DataFrame, k: int, alpha: float = ALPHA, with_hits: bool = True) -> DataFrame:
     """read_result: sample, code, read_id, node, length, hits."""
-    hits = look_up(read_kmers(reads, k), table)
-    voted = vote(hits, nodes, alpha, reads).join(reads.select(*KEYS, F.length("seq").alias("length")), KEYS)
+    return classify_hits(look_up(read_kmers(reads, k), table), nodes, alpha, with_hits)
+
+
+def classify_hits(hits: DataFrame, nodes: DataFrame, alpha: float = ALPHA, with_hits: bool = True) -> DataFrame:
+    """read_result of looked-up k-mers. With hits, one aggregate keeps a read's nodes in order, and the vote's counts come from its runs: the lookup is not made twice."""
     if not with_hits:
-        return voted.select("sample", "code", "read_id", "node", "length")
-    return voted.join(run_lengths(hits), KEYS, "left").select("sample", "code", "read_id", "node", "length", "hits")
+        return vote(hits, nodes, alpha, ("length",)).select("sample", "code", "read_id", "node", "length")
+    ends = nodes.select(F.col("node_id").alias("node"), F.col("subtree_end").alias("end"))
+    found = F.when(F.col("node").isNotNull(), F.struct("ordinal", "node", "end"))
+    per = hits.join(phylo.sized(ends), "node", "left").groupBy(*KEYS, "length").agg(F.count("kmer").alias("n"), F.sort_array(F.collect_list(found)).alias("_o"))
+    per = per.withColumn("m", F.size("_o").cast("bigint")).withColumn("hits", _runs(F.transform("_o", lambda x: x["node"])))
+    distinct = F.array_distinct(F.transform("_o", lambda x: F.struct(x["node"].alias("node"), x["end"].alias("end"))))
+    total = lambda x: F.aggregate(F.filter("hits", lambda r: r["node"] == x["node"]), F.lit(0).cast("bigint"), lambda a, r: a + r["cnt"])
+    per = per.withColumn("h", F.transform(distinct, lambda x: F.struct(x["node"].alias("node"), x["end"].alias("end"), total(x).alias("cnt"))))
+    return _decide(per, nodes, alpha).select("sample", "code", "read_id", "node", "length", "hits")
 
 
 def raw_rows(result: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _votes(spark: SparkSession, d: str, alpha: float = classify.ALPHA) -> DataFrame:
-    return classify.vote(_hits(spark, d), fx.nodes(spark, d), alpha, fx.reads(spark, d))
+    return classify.vote(_hits(spark, d), fx.nodes(spark, d), alpha)
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +203,7 @@ def lca_pairs(spark, d):
 
 @query(sql("SELECT sample, read_id, kmer, coalesce(node, 0) AS node FROM hits", hits=True))
 def read_lookup_left(spark, d):
-    return _hits(spark, d).select("sample", "read_id", "kmer", F.coalesce("node", F.lit(0)).alias("node"))
+    return _hits(spark, d).where("kmer is not null").select("sample", "read_id", "kmer", F.coalesce("node", F.lit(0)).alias("node"))
 
 
 _RUNS = """WITH o AS (SELECT sample, read_id, node, i, row_number() OVER (PARTITION BY sample, read_id ORDER BY i) - row_number() OVER (PARTITION BY sample, read_id, node ORDER BY i) AS g FROM hits WHERE node IS NOT NULL),

@@ -20,7 +20,7 @@ def classify_stream(reads: DataFrame, table: DataFrame, nodes: DataFrame, k: int
     """Each micro-batch is classified whole, since a read's k-mers are all in one row; ``sink`` gets read results. No state is kept."""
     def batch(rows: DataFrame, epoch: int) -> None:
         hits = classify.look_up(classify.read_kmers(rows, k), table)
-        sink(classify.vote(hits, nodes, alpha, rows), epoch)
+        sink(classify.vote(hits, nodes, alpha), epoch)
 
     return reads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -83,15 +83,14 @@ def test_vote_against_sequential_rule(spark):
     rng = random.Random(4)
     root = random_tree(rng, 12)
     rows = tree.rows_of(root)
-    want, found, reads = {}, [], []
+    want, found = {}, []
     for i in range(300):
         own = [rng.choice(rows)[0] if rng.random() < 0.85 else None for _ in range(rng.randrange(0, 12))]
-        reads.append(("s", f"R{i}", "N"))
-        found += [("s", f"R{i}", j, x) for j, x in enumerate(own)]
+        found += [("s", f"R{i}", j, "k", x) for j, x in enumerate(own)] or [("s", f"R{i}", None, None, None)]
         hits = {x: own.count(x) for x in own if x}
         want[f"R{i}"] = plain_vote(rows, hits, len(own), 0.3) if own else ("U", 0)
-    hits = spark.createDataFrame(found, "sample string, read_id string, ordinal int, node int")
-    got = classify.vote(hits, tree.nodes_frame(spark, root), 0.3, spark.createDataFrame(reads, "sample string, read_id string, seq string"))
+    hits = spark.createDataFrame(found, "sample string, read_id string, ordinal int, kmer string, node int")
+    got = classify.vote(hits, tree.nodes_frame(spark, root), 0.3)
     assert {r["read_id"]: (r["code"], r["node"]) for r in got.collect()} == want
 
 
