@@ -205,8 +205,27 @@ def rows_of(root: Node) -> list[tuple]:
     return out
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A driver's rows as a local relation, whose size the planner knows, so that joins with it broadcast by themselves."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    fields = to_arrow_schema(_parse_datatype_string(schema))
+
+    def cell(x, kind: pa.DataType):
+        if pa.types.is_list(kind) and x is not None:
+            return [cell(y, kind.value_type) for y in x]
+        if pa.types.is_struct(kind) and x is not None:
+            return {f.name: cell(y, f.type) for f, y in zip(kind, x, strict=True)}
+        return x
+
+    columns = [pa.array([cell(r[i], f.type) for r in rows], f.type) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.table(columns, schema=fields))
+
+
 def nodes_frame(spark: SparkSession, root: Node) -> DataFrame:
-    return spark.createDataFrame(rows_of(root), NODES)
+    return local_frame(spark, rows_of(root), NODES)
 
 
 def lca_of(root: Node, names: list[str]) -> str:

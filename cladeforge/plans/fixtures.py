@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladeforge.operators.tree import local_frame
+
 K = 15
 
 
@@ -30,7 +32,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.append((top, name, "Branch", 1, top + 5, 1, [(1, 31), (top, top + 5)]))
         for i, (_, _, leaf) in enumerate([n for n in nation if n[0] == key], 1):
             rows.append((top + i, leaf, "Leaf", top, top + i, 2, [(1, 31), (top, top + 5), (top + i, top + i)]))
-    return spark.createDataFrame(rows, "node_id int, name string, type string, parent int, subtree_end int, depth int, path array<struct<id:int,end:int>>")
+    return local_frame(spark, rows, "node_id int, name string, type string, parent int, subtree_end int, depth int, path array<struct<id:int,end:int>>")
 
 
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:

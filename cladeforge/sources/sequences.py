@@ -49,23 +49,33 @@ def contigs(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.select("path", "ordinal", id_.alias("id"), F.regexp_replace(F.regexp_replace("record", r"\A[^\n]*\n?", ""), r"\s+", "").alias("seq"))
 
 
+def _numbered(spark: SparkSession, paths: list[str], separator: str | None = None) -> DataFrame:
+    """(path, n, value): lines with their number in the file. Lines are counted by block of the file, so no file is numbered in one task."""
+    reader = spark.read.option("lineSep", separator) if separator else spark.read
+    block = F.col("_metadata.file_block_start").alias("block")
+    lines = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), block, F.monotonically_increasing_id().alias("at"), F.col("value"))
+    blocks = lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("m"))
+    start = F.sum("m").over(Window.partitionBy("path").orderBy("block")) - F.col("m")
+    starts = blocks.withColumn("start", start).select("path", "block", "first", "start")  # a row a block
+    return lines.join(starts, ["path", "block"]).select("path", (F.col("start") + F.col("at") - F.col("first")).alias("n"), "value")
+
+
 def fasta_reads(spark: SparkSession, paths: list[str], partitions: int | None = None) -> DataFrame:
-    """(path, sample, ordinal, read_id, bases). Records are cut at >, so no file is held whole; ordinals are offsets that keep a file's order."""
-    lines = spark.read.option("lineSep", ">").text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value")).where(F.trim("value") != "")
-    rows = lines.withColumn("ordinal", F.monotonically_increasing_id())
+    """(path, sample, ordinal, read_id, bases). Records are cut at >, so no file is held whole; ordinals count a file's records from 1."""
+    rows = _numbered(spark, paths, ">").where((F.col("n") > 0) | (F.trim("value") != ""))
     rows = rows.repartition(partitions) if partitions else rows
     id_ = F.regexp_extract("value", r"\A(\S+)", 1)
     bases = F.regexp_replace(F.regexp_replace("value", r"\A[^\n]*\n?", ""), r"\s+", "")
-    return rows.select("path", names.sample_name("path").alias("sample"), "ordinal", id_.alias("read_id"), bases.alias("bases"))
+    return rows.select("path", names.sample_name("path").alias("sample"), F.col("n").alias("ordinal"), id_.alias("read_id"), bases.alias("bases"))
 
 
 def fastq_reads(spark: SparkSession, paths: list[str], partitions: int | None = None) -> DataFrame:
     """Like :func:`fasta_reads`, for records of four lines; an id is the whole header line after @.
 
-    A quality line may begin with @ too, so lines are numbered by file in a window over small offsets and not told by their first letter."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), F.col("value"))
-    numbered = lines.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1)
-    records = numbered.where("n % 4 < 2").groupBy("path", F.floor(F.col("n") / 4).alias("ordinal")).agg(F.max_by("value", -F.col("n")).alias("head"), F.max_by("value", "n").alias("bases"))
+    A quality line may begin with @ too, so lines are told by their number and not by their first letter."""
+    lines = _numbered(spark, paths).where("n % 4 < 2")
+    records = lines.groupBy("path", (F.floor(F.col("n") / 4) + 1).alias("ordinal")).agg(F.max_by("value", -F.col("n")).alias("head"), F.max_by("value", "n").alias("bases"))
+    records = records.where("head <> ''")
     records = records.repartition(partitions) if partitions else records
     return records.select("path", names.sample_name("path").alias("sample"), "ordinal", F.regexp_extract("head", r"^@(.*?)\s*$", 1).alias("read_id"), F.trim("bases").alias("bases"))
 
@@ -89,9 +99,8 @@ def single(found: DataFrame) -> DataFrame:
 
 def paired(first: DataFrame, second: DataFrame) -> DataFrame:
     """Mates by their place in the two files: sequence R1 N R2 N, id the common beginning of both ids, sample the lesser name."""
-    number = lambda df: df.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("ordinal")))
-    a, b = number(first).select("n", *[F.col(c).alias(f"{c}_1") for c in ("sample", "read_id", "bases")]), number(second).select("n", *[F.col(c).alias(f"{c}_2") for c in ("sample", "read_id", "bases")])
-    both = a.join(b, "n")
+    a, b = (df.select("ordinal", *[F.col(c).alias(f"{c}_{i}") for c in ("sample", "read_id", "bases")]) for i, df in ((1, first), (2, second)))
+    both = a.join(b, "ordinal")
     return both.select(F.least("sample_1", "sample_2").alias("sample"), names.common_prefix(F.col("read_id_1"), F.col("read_id_2")).alias("read_id"), F.concat("bases_1", F.lit("N"), "bases_2", F.lit("N")).alias("seq"))
 
 

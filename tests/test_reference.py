@@ -177,6 +177,17 @@ def test_files(spark, tmp_path):
     assert sorted(map(tuple, both.collect())) == [("s_1", "R1/", "ACGTNGGGGN"), ("s_1", "R2/", "TTTTNCCCCN")]
     (tmp_path / "q.fastq").write_text("@id one\nACGT\n+\n@@@@\n@id two\nGGTT\n+\n!!!!\n")
     assert sorted(map(tuple, sequences.single(sequences.reads(spark, [str(tmp_path / "q.fastq")])).collect())) == [("q", "id one", "ACGTN"), ("q", "id two", "GGTTN")]
+    rng = random.Random(8)
+    many = [(f"r{i}", "".join(rng.choice("ACGT") for _ in range(30))) for i in range(3000)]
+    (tmp_path / "m_1.fastq").write_text("".join(f"@{n}/1\n{s}\n+\n{'@' * 30}\n" for n, s in many))
+    (tmp_path / "m_2.fa").write_text("".join(f">{n}/2\n{s[:20]}\n{s[20:]}\n" for n, s in many))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")  # many blocks a file
+    try:
+        got = sequences.paired(sequences.reads(spark, [str(tmp_path / "m_1.fastq")]), sequences.reads(spark, [str(tmp_path / "m_2.fa")])).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert {(r["read_id"], r["seq"]) for r in got} == {(f"{n}/", f"{s}N{s}N") for n, s in many} and len(got) == 3000
     for bad in ("x.txt", "x.tar", "x.fa.tar.gz"):
         with pytest.raises(ValueError):
             names.format_of(bad)
