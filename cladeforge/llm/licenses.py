@@ -37,7 +37,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0",
 }
-WORD = r"[a-z0-9][a-z0-9.\-]*[a-z0-9]|[a-z0-9]"
+WORD = r"[a-z0-9]+(?:[.\-]+[a-z0-9]+)*"
 CUTS = r"\n+|(?<=[.!?])\s+"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 THRESHOLD = 0.7
@@ -108,7 +108,8 @@ def scan(files: DataFrame, key: str, path: str = "path", text: str = "text", thr
     """(key, path, own, cosine, license, inherited_from): own is the file's stated licence, license that or the inherited one."""
     rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     vocabulary = sorted(weights({}, 0))
-    seen = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_either(vocabulary)), F.lit(0)))).alias("term"))
+    known = F.array(*[F.lit(t) for t in vocabulary])
+    seen = rows.select(F.explode(F.array_intersect(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), known)).alias("term"))
     counts = {r["term"]: r["count"] for r in seen.groupBy("term").count().collect()}  # the templates' vocabulary at most
     idf = weights(counts, rows.count())
     vecs = vectors(idf)
@@ -143,3 +144,37 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("doc_id") % 100 < 20, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     found = scan(docs.select("doc_id", F.concat_ws("/", where, name).alias("path"), "text"), "doc_id")
     return found.withColumnRenamed("key", "doc_id")
+
+
+def _sql() -> str:
+    vocabulary = sorted(weights({}, 0))
+    names = ", ".join(f"({-i}, '{n}', [{', '.join(f'{chr(39)}{w}{chr(39)}' for w in words_of(t))}])" for i, (n, t) in enumerate(TEMPLATES.items()))
+    listed = "[" + ", ".join(f"'{t}'" for t in vocabulary) + "]"
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, CAST(doc_id // 1000 AS VARCHAR)) || CASE WHEN doc_id % 1000 < 20 THEN '' ELSE '/' || CAST(doc_id // 100 AS VARCHAR) END AS dir,
+    CASE WHEN doc_id % 100 < 20 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS file FROM documents
+), vocab AS (SELECT unnest({listed}) AS w),
+df AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_intersect(list_distinct(regexp_extract_all(lower(text), '{WORD}')), {listed})) AS w FROM docs) GROUP BY w),
+idf AS (SELECT w, ln(CAST(1 + (SELECT count(*) FROM docs) AS DOUBLE) / (1 + coalesce(n, 0))) + 1 AS idf FROM vocab LEFT JOIN df USING (w)),
+names AS (SELECT * FROM (VALUES {names}) AS x(o, name, words)),
+tv AS (SELECT o, name, w, (1 + ln(CAST(count(*) AS DOUBLE))) * any_value(idf) AS x FROM (SELECT o, name, unnest(words) AS w FROM names) JOIN idf USING (w) GROUP BY o, name, w),
+tn AS (SELECT o, sqrt(sum(x * x)) AS norm FROM tv GROUP BY o),
+segs AS (SELECT doc_id, k, regexp_extract_all(lower(seg[k]), '{WORD}') AS words FROM (
+  SELECT doc_id, seg, unnest(range(1, len(seg) + 1)) AS k FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?])[ 	
+]+', '' || chr(10), 'g'), '
++') AS seg FROM docs))),
+st AS (SELECT doc_id, k, w, count(*) AS tf FROM (SELECT doc_id, k, unnest(words) AS w FROM segs) GROUP BY ALL),
+sv AS (SELECT doc_id, k, w, tf, idf, (1 + ln(CAST(tf AS DOUBLE))) * idf AS v FROM st LEFT JOIN idf USING (w)),
+sn AS (SELECT doc_id, k, sqrt(sum(coalesce(v * v, 0)) + sum(CASE WHEN idf IS NULL THEN tf ELSE 0 END) * (SELECT avg(idf) * avg(idf) FROM idf)) AS norm FROM sv GROUP BY ALL),
+cs AS (SELECT doc_id, round(sum(v * x / tn.norm) / any_value(sn.norm), 6) AS c, o, name FROM sv JOIN tv USING (w) JOIN tn USING (o) JOIN sn USING (doc_id, k) GROUP BY doc_id, k, o, name),
+best AS (SELECT doc_id, c AS cosine, o, name AS own FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, o DESC) AS r FROM cs) WHERE r = 1 AND c >= {THRESHOLD}),
+f AS (SELECT docs.doc_id, dir, dir || '/' || file AS path, own, cosine, o FROM docs LEFT JOIN best USING (doc_id)),
+stated AS (SELECT dir AS above, arg_max(own, (cosine, o)) AS given FROM f WHERE own IS NOT NULL AND path LIKE '%/LICENSE.%' GROUP BY dir),
+chains AS (SELECT DISTINCT dir, i, array_to_string(string_split(dir, '/')[1 : i], '/') AS above FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS i FROM f)),
+near AS (SELECT dir, arg_max(above, i) AS above, arg_max(given, i) AS given FROM chains JOIN stated USING (above) GROUP BY dir)
+SELECT doc_id, path, own, cosine, coalesce(own, given) AS license, CASE WHEN own IS NULL THEN near.above END AS inherited_from FROM f LEFT JOIN near USING (dir)
+"""
+
+
+OP9_SQL = _sql()

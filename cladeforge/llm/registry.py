@@ -15,6 +15,7 @@ QUERIES = {
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
 }
 ORACLE_SQL = {
+    "op9_license_scan": licenses.OP9_SQL,
     "op1_secret_scan": secrets.OP1_SQL,
     "op8_benchmark_decontamination": decontaminate.OP8_SQL,
     "op4_chat_format": chat.OP4_SQL,
