@@ -22,7 +22,7 @@ def sketch_scaled(genomes: DataFrame, k: int, scaled: int, name: str = "node_id"
 
 
 def sketch_bottom(genomes: DataFrame, k: int, s: int, name: str = "node_id") -> DataFrame:
-    """(name, hash): the s least hashes. Each task first keeps its own s least of a genome (array aggregate), then the s least of these stay."""
+    """(name, hash): the s least hashes. The planner's group limit keeps each task's own s least before the shuffle."""
     found = kmers.explode_windows(genomes, [name], k).select(name, hash_of("kmer").alias("hash")).distinct()
     ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy(name).orderBy("hash")))
     return ranked.where(F.col("_r") <= s).drop("_r")
