@@ -74,6 +74,17 @@ def test_components_of_a_chain(spark):
     assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500, 502: 500}
 
 
+def test_components_of_a_long_chain_of_random_numbers(spark):
+    rng = random.Random(5)
+    names = list({rng.getrandbits(64) - 2**63 for _ in range(3000)})
+    rng.shuffle(names)
+    edges = [p if rng.random() < 0.5 else p[::-1] for p in zip(names[:-1], names[1:], strict=True)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == dict.fromkeys(names, min(names))
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame(edges, "a long, b long"), max_rounds=2)
+
+
 def windows_hit(doc, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
