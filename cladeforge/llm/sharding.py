@@ -37,10 +37,16 @@ def prefix_sum(df: DataFrame, group: list[str], order: list[str], value: str, ou
     return df.join(starts, keys).withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_bucket", "_start")
 
 
-def propagate(state: DataFrame, capacity: list[int], buckets: int, max_rounds: int = 12) -> DataFrame:
-    """state: (h, shard, c), materialized, with no shard above its capacity. Returns the state at which nothing moves."""
-    shards = len(capacity)
-    for _ in range(max_rounds):
+def propagate(state: DataFrame, capacity: list[int], buckets: int, max_rounds: int | None = None) -> DataFrame:
+    """state: (h, shard, c), materialized, with no shard above its capacity. Returns the state at which nothing moves.
+
+    All parts of a group ask for one shard a round, that of its largest part with room, so each move makes the sum of squared counts larger and the
+    rounds end. A group alone needs a round a shard at most; ``max_rounds`` (shards * (groups + shards) if not given) only guards, and raises if met.
+    """
+    shards, done = len(capacity), 0
+    if max_rounds is None:
+        max_rounds = shards * (state.select("h").distinct().count() + shards)
+    while True:
         load = {r["shard"]: r["c"] for r in state.groupBy("shard").agg(F.sum("c").alias("c")).collect()}  # one row a shard
         room = [capacity[s] - load.get(s, 0) for s in range(shards)]
         order = {s: i for i, s in enumerate(sorted(range(shards), key=lambda s: (room[s], -s)))}
@@ -55,16 +61,18 @@ def propagate(state: DataFrame, capacity: list[int], buckets: int, max_rounds: i
         moves = ranked.withColumn("m", F.least(F.col("c"), _lookup(room, F.col("to")) - F.col("before"))).where("m > 0")
         moves = materialize(moves.select("h", "shard", "to", "m"), "moves")
         if moves.isEmpty():
-            break
+            discard(moves)
+            return state
+        if done == max_rounds:
+            raise RuntimeError(f"shards have not settled after {max_rounds} rounds")
         deltas = moves.select("h", "shard", (-F.col("m")).alias("c")).unionByName(moves.select("h", F.col("to").alias("shard"), F.col("m").alias("c")))
         new = materialize(state.unionByName(deltas).groupBy("h", "shard").agg(F.sum("c").alias("c")).where("c > 0"), "state")
         discard(state)
         discard(moves)
-        state = new
-    return state
+        state, done = new, done + 1
 
 
-def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, max_rounds: int = 12) -> DataFrame:
+def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, max_rounds: int | None = None) -> DataFrame:
     """(key, size, text_crc32, shard, slot): every shard gets floor or ceil of rows / shards; equal texts are kept together as far as quotas allow."""
     crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     rows = docs.select(

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -139,6 +140,15 @@ def test_shards_are_even_and_keep_groups(spark):
     assert sum(place[50 + 2 * i] != place[51 + 2 * i] for i in range(30)) <= 3
 
 
+def test_hot_groups_end_on_few_shards(spark):
+    texts = ["hot"] * 800 + [f"warm {i % 3}" for i in range(360)] + [f"pair {i // 5}" for i in range(300)] + [f"own {i}" for i in range(940)]
+    place = {r["key"]: r["shard"] for r in sharding.shard_documents(frame(spark, list(enumerate(texts))), shards=40).collect()}
+    assert len(place) == 2400 and max(Counter(place.values()).values()) == 60
+    assert len({place[i] for i in range(800)}) <= 16
+    with pytest.raises(RuntimeError):
+        sharding.shard_documents(frame(spark, list(enumerate(texts))), shards=40, max_rounds=2)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_substrings_against_brute_force(spark, seed):
     import random
