@@ -11,6 +11,7 @@ Defined results: null or empty text is the end token alone; repeated rows are pa
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -106,6 +107,22 @@ def encoding(ranks_path: str):
     return _encodings[ranks_path]
 
 
+LONG_RUN = 100_000
+#: White space as the pattern of the vocabulary has it.
+_LONG_SPACE = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
+
+
+def encode(enc, text: str) -> list[int]:
+    """Ids of a whole text. The pattern's matcher fails on a million white-space characters, so a very long run is cut off as the pattern would: one piece, but for its last character if something follows."""
+    ids, at = [], 0
+    for run in _LONG_SPACE.finditer(text) if len(text) >= LONG_RUN else ():
+        end = run.end() - (run.end() < len(text))
+        ids += enc.encode_ordinary(text[at : run.start()])
+        ids += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + enc.encode_ordinary(text[at:])
+
+
 def default_ranks() -> str:
     import public_tokenizers
 
@@ -129,7 +146,7 @@ def tokenize_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
             for lo in range(0, len(pdf), 256):
                 rows = []
                 for k, t in zip(pdf["k"][lo : lo + 256].to_numpy(), pdf["t"][lo : lo + 256], strict=True):
-                    ids = np.array([*enc.encode_ordinary(t or ""), end_id], dtype="<u4")
+                    ids = np.array([*encode(enc, t or ""), end_id], dtype="<u4")
                     for i, (s, n) in enumerate(cut(len(ids), capacity)):
                         part = ids[s : s + n]
                         rows.append((k, i, s, n, zlib.crc32(part.tobytes()), part.astype("int32") if keep_ids else None))

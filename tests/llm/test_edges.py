@@ -256,6 +256,15 @@ def test_tokens_equal_those_of_tokenizers():
         assert slow.encode(t, add_special_tokens=False).ids == fast.encode_ordinary(t)
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_001 + "word", "a b\n" + "\n" * 1_000_001 + "word", " \t" * 600_000, "x" + "\u3000 " * 60_000 + "'s" + " " * 1_200_000 + "é\x1f" + "\r\n" * 70_000 + "\x1c" + "\n" * 100_000 + ".", "\t" * 1_000_001 + "\x85"])
+def test_tokens_of_very_long_white_space(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encode(packing.encoding(packing.default_ranks()), text) == slow.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_rows(spark):
     texts = [("word " * n) for n in (0, 1, 5, 700, 1023, 1024, 3000, 3000)]
     got = packing.best_fit_pack(frame(spark, list(enumerate(texts)))).collect()
