@@ -8,7 +8,11 @@ others are compared, which is exact.
 A file whose name says licence gives its directory the licence it states. A file without a licence of its own takes that of its nearest ancestor
 directory that has one, by joins on paths: directories are resolved once each, and files join their own directory.
 
-Everything is DataFrame expressions; texts are not shuffled. The vocabulary is of the templates' size, so its weights are literals.
+A file whose name says licence is first compared as a whole to the full texts in ``licence_texts``, by TF-IDF cosine with counts over those texts; only files
+that have enough of a text's heavier words to reach the threshold are, which is exact. A text without such a match or header has the licence of its SPDX line, or of the first title or
+notice it contains word for word, whatever stands around it and wherever lines or comment marks break it; its cosine is then 1.
+
+Everything is DataFrame expressions; only the words of distinct whole licence files are shuffled. The vocabulary is of the templates' size, so its weights are literals.
 
 Defined results: null and empty texts have no licence of their own; null paths inherit nothing; ties go to the template listed first; two licence files in a directory
 give it the better match, then the one listed first; repeated rows get equal results; an empty table gives an empty table. Extra columns stay out of the way.
@@ -17,6 +21,8 @@ give it the better match, then the one listed first; repeated rows get equal res
 from __future__ import annotations
 
 import math
+from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +43,21 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0",
 }
+# Titles and notices, found word for word in this order; the texts of TEMPLATES come after them.
+NOTICES = {
+    "AGPL-3.0": ["GNU Affero General Public License version 3", "GNU Affero General Public License as published by the Free Software Foundation either version 3"],
+    "LGPL-3.0": ["GNU Lesser General Public License version 3", "GNU Lesser General Public License as published by the Free Software Foundation either version 3"],
+    "GPL-3.0": ["GNU General Public License version 3", "GNU General Public License as published by the Free Software Foundation either version 3"],
+    "Apache-2.0": ["Apache License Version 2.0", "Apache License 2.0"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0", "Mozilla Public License v. 2.0", "Mozilla Public License 2.0"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License"],
+    "MIT": ["MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"],
+    "CC-BY-SA-4.0": ["Attribution-ShareAlike 4.0 International", "CC BY-SA 4.0"],
+    "CC-BY-NC-4.0": ["Attribution-NonCommercial 4.0 International", "CC BY-NC 4.0"],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International", "CC BY 4.0"],
+    "CC0-1.0": ["CC0 1.0 Universal"],
+}
+SPDX = r"(?i)SPDX-License-Identifier:[\s(]*([a-z0-9.\-]*[a-z0-9])"
 WORD = r"[a-z0-9]+(?:[.\-]+[a-z0-9]+)*"
 CUTS = r"\n+|(?<=[.!?])\s+"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
@@ -104,6 +125,59 @@ def best_template(segment: Column, idf: dict[str, float], vecs: dict[str, dict[s
     return F.get(F.transform(F.array(F.struct(own.alias("v"), others.alias("others"))), cosines), F.lit(0))
 
 
+def stated_word_for_word(text: Column) -> Column:
+    """struct<cosine, order, name> by the SPDX line, a title or a notice; null without one."""
+    order = {name: -i for i, name in enumerate(TEMPLATES)}
+    spdx = F.regexp_replace(F.lower(F.regexp_extract(text, SPDX, 1)), "-(only|or-later)$", "")
+    tests = [(name, spdx == name.lower()) for name in TEMPLATES]
+    patterns = {name: "|".join("[^a-z0-9]+".join(w.replace(".", r"\.") for w in words_of(p.replace("-", " "))) for p in [*NOTICES[name], TEMPLATES[name]]) for name in NOTICES}
+    patterns["BSD-3-Clause"] += r"|redistribution[^a-z0-9]+and[^a-z0-9]+use[^a-z0-9]+in[^a-z0-9]+source[^a-z0-9]+and[^a-z0-9]+binary[^a-z0-9]+forms[\s\S]*neither[^a-z0-9]+the[^a-z0-9]+names?"
+    tests += [(name, F.lower(text).rlike(rf"(?<![a-z0-9])(?:{p})(?![a-z0-9])")) for name, p in patterns.items()]
+    out = F.coalesce(*[F.when(test, F.struct(F.lit(1.0).alias("cosine"), F.lit(order[name]).alias("order"), F.lit(name).alias("name"))) for name, test in tests])
+    return F.when(text.rlike("(?i)licen[cs]e|permission|redistribution|attribution|cc0|cc[^a-z0-9]+by"), out)
+
+
+def full_texts() -> dict[str, dict[str, float]]:
+    """Unit vectors of the full texts, and under "" the idf; a word of none of them has the greatest idf."""
+    counts = {p.stem: Counter(words_of(p.read_text(encoding="utf-8"))) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+    df = Counter(w for c in counts.values() for w in c)
+    out = {"": {w: math.log((1 + len(counts)) / (1 + n)) + 1 for w, n in df.items()}}
+    for name, c in counts.items():
+        raw = {w: (1 + math.log(n)) * out[""][w] for w, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        out[name] = {w: x / norm for w, x in raw.items()}
+    return out
+
+
+def heavy_words(vec: dict[str, float], threshold: float, light: float = 0.2) -> tuple[list[str], int]:
+    """(words, n): a text that reaches the threshold has n of the words, as its cosine is at most the norm of the words it shares."""
+    left, heavy = light, []
+    for w, x in sorted(vec.items(), key=lambda a: (a[1], a[0])):
+        left -= x * x
+        if left < 0:
+            heavy.append((x * x, w))
+    have, n = 1 - sum(x for x, _ in heavy), 0
+    for x, _ in sorted(heavy, reverse=True):
+        if have >= threshold * threshold - 1e-9:
+            break
+        have, n = have + x, n + 1
+    return sorted(w for _, w in heavy), n
+
+
+def best_full_text(files: DataFrame, vecs: dict[str, dict[str, float]], threshold: float) -> DataFrame:
+    """files: (whole, words). (whole, full: struct<cosine, order, name>) of the nearest full text that reaches the threshold."""
+    idf, order = vecs[""], {name: -i for i, name in enumerate(TEMPLATES)}
+    spark = files.sparkSession
+    scales = spark.createDataFrame(sorted(idf.items()), "word string, idf double")
+    weights_of = spark.createDataFrame([(w, n, order[n], x) for n, v in vecs.items() if n for w, x in sorted(v.items())], "word string, name string, `order` int, x double")
+    tf = files.dropDuplicates(["whole"]).select("whole", F.explode("words").alias("word")).groupBy("whole", "word").count()
+    own = tf.join(F.broadcast(scales), "word", "left").withColumn("v", (1 + F.ln(F.col("count").cast("double"))) * F.coalesce("idf", F.lit(max(idf.values()))))  # a row a word of the full texts
+    norms = own.groupBy("whole").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    dots = own.join(F.broadcast(weights_of), "word").groupBy("whole", "name", "order").agg(F.sum(F.col("v") * F.col("x")).alias("dot"))
+    near = dots.join(norms, "whole").select("whole", F.struct(F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"), "order", "name").alias("full"))
+    return near.where(F.col("full.cosine") >= threshold).groupBy("whole").agg(F.max("full").alias("full"))
+
+
 def scan(files: DataFrame, key: str, path: str = "path", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, path, own, cosine, license, inherited_from): own is the file's stated licence, license that or the inherited one."""
     rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -116,8 +190,16 @@ def scan(files: DataFrame, key: str, path: str = "path", text: str = "text", thr
     must = F.lit("(?i)" + _either(needed(vecs, threshold)))
     segments = F.when(F.col("text").rlike("(?i)" + _either(needed(vecs, threshold))), F.filter(F.split("text", CUTS), lambda s: F.regexp_like(s, must))).otherwise(F.array().cast("array<string>"))
     best = F.array_max(F.transform("segments", lambda s: best_template(s, idf, vecs)))
-    found = rows.select("key", "path", segments.alias("segments")).select("key", "path", best.alias("best"))
-    found = found.withColumn("best", F.when(F.col("best.cosine") >= threshold, F.col("best")))
+    texts = full_texts()
+    words = F.when(F.col("path").rlike(LICENCE_FILE), F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    enough = F.lit(False)
+    for heavy, n in (heavy_words(v, threshold) for name, v in texts.items() if name):
+        enough = enough | (F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in heavy]))) >= n)
+    found = rows.select("key", "path", "text", segments.alias("segments"), words.alias("words")).select("key", "path", "text", best.alias("best"), F.when(F.col("words").isNotNull() & enough, F.col("words")).alias("words"))
+    found = found.withColumn("best", F.when(F.col("best.cosine") >= threshold, F.col("best")).otherwise(stated_word_for_word(F.col("text")))).drop("text")
+    found = materialize(found.withColumn("whole", F.when(F.col("words").isNotNull(), F.md5(F.array_join("words", " ")))), "compared")
+    full = materialize(best_full_text(found.where("whole is not null").select("whole", "words"), texts, threshold), "full_texts")
+    found = found.drop("words").join(full, "whole", "left").select("key", "path", F.coalesce("full", "best").alias("best"))
     found = found.withColumn("dir", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), "")))
     found = materialize(found, "headers")
     stated = found.where(F.col("best").isNotNull() & F.col("path").rlike(LICENCE_FILE)).groupBy("dir").agg(F.max("best").alias("best"))
@@ -162,7 +244,8 @@ tv AS (SELECT o, name, w, (1 + ln(CAST(count(*) AS DOUBLE))) * any_value(idf) AS
 tn AS (SELECT o, sqrt(sum(x * x)) AS norm FROM tv GROUP BY o),
 segs AS (SELECT doc_id, k, regexp_extract_all(lower(seg[k]), '{WORD}') AS words FROM (
   SELECT doc_id, seg, unnest(range(1, len(seg) + 1)) AS k FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?])[ 	
-]+', '' || chr(10), 'g'), '
+
+]+', '' || chr(10), 'g'), '
 +') AS seg FROM docs))),
 st AS (SELECT doc_id, k, w, count(*) AS tf FROM (SELECT doc_id, k, unnest(words) AS w FROM segs) GROUP BY ALL),
 sv AS (SELECT doc_id, k, w, tf, idf, (1 + ln(CAST(tf AS DOUBLE))) * idf AS v FROM st LEFT JOIN idf USING (w)),

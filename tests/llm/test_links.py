@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -168,6 +169,18 @@ def test_licences_are_inherited(spark):
     }
 
 
+def test_licence_files_titles_and_notices_in_lines(spark):
+    folder = Path(licenses.__file__).parent / "licence_texts"
+    full = {p.stem: p.read_text() for p in folder.glob("*.txt")}
+    files = [(f"{n}/LICENSE", t.replace("Copyright", "Copyright (c) 2020 Someone Else")) for n, t in full.items()]
+    gpl = "  # This program is free software: you can redistribute it and/or modify it under the terms of the GNU General\n  # Public License as published by the Free Software Foundation, either version 3 of the License, or later."
+    more = {"spdx": ("// SPDX-License-Identifier: MIT\nx = 1", "MIT"), "spdx2": ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), "spdx3": ("# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), "gpl": (gpl, "GPL-3.0"),
+            "long": ("word " * 30 + "Released under the MIT License " + "word " * 30, "MIT"), "title": ("MIT License\n\nCopyright", "MIT"), "gnu": ("GNU GENERAL PUBLIC LICENSE\n   Version 3", "GPL-3.0"), "none": ("the MIT students' permission and a driving license", None)}
+    rows = [(i, p, t) for i, (p, t) in enumerate([*files, *((f"x/{k}.py", t) for k, (t, _) in more.items())])]
+    got = {r["path"]: r["own"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), "doc_id").collect()}
+    assert got == {f"{n}/LICENSE": n for n in full} | {f"x/{k}.py": n for k, (_, n) in more.items()}
+
+
 def test_every_segment_that_reaches_the_threshold_is_compared():
     idf = licenses.weights({"the": 900, "under": 500, "license": 20}, 1000)
     vecs = licenses.vectors(idf)
