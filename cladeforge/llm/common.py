@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: written cut points in the shared folder and skew-free row numbering."""
+"""Helpers shared by the operators: written cut points in the shared folder, identities of rows and skew-free row numbering."""
 
 from __future__ import annotations
 
@@ -7,10 +7,14 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+FILE_BYTES = 64 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,16 +36,50 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` to the shared folder and reads it again, so that lost executors lose nothing."""
+def size_of(df: DataFrame) -> int:
+    """The planner's estimate in bytes; that of a written table is its size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def in_few_files(df: DataFrame, size: int | None = None) -> DataFrame:
+    """``df`` in about one task for each FILE_BYTES, but two tasks a core at least, so that small tables are not written as many small files.
+
+    Each new file costs a request to the store; Hadoop's local file system even starts a process for each, which for a moment counts as large as its executor.
+    """
+    least = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(least, min(-(-(size_of(df) if size is None else size) // FILE_BYTES), 1 << 30)))
+
+
+def materialize(df: DataFrame, name: str, size: int | None = None) -> DataFrame:
+    """Cuts the lineage: writes ``df`` to the shared folder and reads it again, so that lost executors lose nothing.
+
+    size: a bound of the written bytes where the planner's estimate is of no use, as for joins.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    in_few_files(df, size).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     atexit.register(_forget, spark, path)  # results that are still to be read depend on it until the driver ends
     return out
 
 
+def with_rows(df: DataFrame, out: str = "row") -> DataFrame:
+    """Adds ``out``: struct<file,at>, an identity of each row whatever its columns hold. What is not read from files is written first.
+
+    ``at`` is the row's place in its file; files go by a hash, and that no two files share it is checked.
+    """
+    identity = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    try:
+        named = df.select("*", identity.alias(out))
+    except AnalysisException:
+        df = materialize(df, "rows")
+        named = df.select("*", identity.alias(out))
+    paths = df.select(F.col("_metadata.file_path").alias("path")).distinct()
+    if not paths.groupBy(F.xxhash64("path").alias("h")).count().where("count > 1").isEmpty():
+        raise RuntimeError("two files share a hash; copy one under another name")
+    return named
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -52,11 +90,17 @@ def _forget(spark: SparkSession, path: str) -> None:
         _delete(spark, path)
 
 
-def text_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Python workers get whole texts in batches of at most so many rows, which bounds their memory."""
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """While it lasts, Python workers get at most so many texts a batch, which bounds their memory; then the session's setting holds again."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+    before = spark.conf.get(key, "10000")
+    if not 0 < int(before) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def discard(df: DataFrame) -> None:
@@ -65,6 +109,18 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often and in whatever lambda it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """The array of ``values`` merged up to each place, by doubling offsets: n log n steps and no copy of the array for each element. No value may be null."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+    back = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    return F.aggregate(rounds, values, lambda acc, k: F.transform(acc, lambda x, i: F.coalesce(merge(x, F.get(acc, i - back(k))), x)))
+
+
 def buckets_for(rows: int, per_bucket: int = 20_000, least: int = 256) -> int:
     return max(least, -(-rows // per_bucket))
 
