@@ -1,14 +1,16 @@
 """Secret scans (operator 1): a trigram inverted index in front of the rules.
 
 From each rule's regular expression a Boolean trigram query is derived: an OR of clauses, each an AND of trigrams without which the rule cannot
-match. Postings (trigram, row) hold only trigrams that some query asks for. Intersecting them per (row, rule, clause) gives each rule's candidates, and
-only these are verified on the whole text. Rules without mandatory trigrams scan every text.
+match. The index is partitioned by document: a row's postings, the trigrams of its text that some query asks for, are made and the clauses intersected with them where the row
+lies, which gives the rules the row is a candidate of; only these are verified on the whole text. Rules without mandatory trigrams scan every text.
+:func:`postings` gives the same postings as a table.
 
-Everything is DataFrame expressions. Postings of a row are counted where they are made and carry one key a row, so neither a common trigram nor a
-group of copies is a hot key. Spans come from one pass of an anchored expression, so they are linear in the text.
+Everything is DataFrame expressions in one pass: no text, no posting and no span is shuffled, so neither a common trigram nor a
+group of copies is a hot key. Spans come from one pass of an anchored expression and a running sum, so their cost is linear in the text but for a logarithm.
 
 Defined results: null texts are empty; matches of a rule are leftmost and do not overlap; offsets are code points, ends exclusive; spans of
-several rules may overlap; repeated rows get equal results; an empty table gives an empty table. Extra columns stay out of the way.
+several rules may overlap; spans that start together (ties) go by the rules' order; very long texts and texts of many matches are scanned whole; repeated rows get equal results; an empty
+table gives an empty table. Extra columns stay out of the way, as only key and text are read.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import materialize, table
+from cladeforge.llm.common import bind, running, table
 
-SPAN = "array<struct<start:bigint,end:bigint>>"
+SPAN = "array<struct<start:bigint,end:bigint,from:bigint,to:bigint>>"
 
 
 @dataclass(frozen=True)
@@ -123,35 +125,54 @@ def _trie(trigrams: list[str]) -> str:
 
 
 def spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start,end>> of a rule's matches in whole texts; each gap and match is one anchored step."""
+    """SPAN of a rule's matches in whole texts: start and end in code points, from and to in bytes. Each gap and match is one anchored step."""
     steps = F.regexp_extract_all(text, F.lit(rf"(?s)\G.*?{rule.pattern}"), F.lit(0))
     inner = lambda s, g: F.regexp_extract(s, rf"(?s)\A.*?({rule.pattern})\z", g)
-    sized = F.transform(steps, lambda s: F.struct(F.length(s).alias("step"), F.length(inner(s, 1)).alias("match"), (F.length(inner(s, 1 + rule.value)) if rule.value else F.length(inner(s, 1))).alias("value")))
-    kind = f"struct<at:bigint,out:{SPAN}>"
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out")).cast(kind)
+    long = lambda c: c.cast("long")
+    sized = F.transform(
+        steps,
+        lambda s: F.struct(
+            long(F.length(s)).alias("step"), long(F.octet_length(s)).alias("bytes"), long(F.length(inner(s, 1))).alias("match"), long(F.octet_length(inner(s, 1))).alias("own"),
+            (F.length(inner(s, 1 + rule.value)) if rule.value else F.length(inner(s, 1))).alias("value"),
+        ),
+    )
 
-    def add(acc: Column, s: Column) -> Column:
-        end = acc["at"] + s["step"]
-        one = F.array(F.struct((end - s["match"]).alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(s["value"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out")).cast(kind)
+    def placed(sizes: Column) -> Column:
+        ends, tos = running(F.transform(sizes, lambda s: s["step"])), running(F.transform(sizes, lambda s: s["bytes"]))
+        both = F.arrays_zip(sizes.alias("s"), ends.alias("end"), tos.alias("to"))
+        kept = F.filter(both, lambda x: x["s"]["value"] >= rule.least)
+        return F.transform(kept, lambda x: F.struct((x["end"] - x["s"]["match"]).alias("start"), x["end"].alias("end"), (x["to"] - x["s"]["own"]).alias("from"), x["to"].alias("to")))
 
-    return F.aggregate(sized, first, add)["out"]
+    return bind(sized, placed)
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(row, rules): the rules whose trigram query a row's postings meet. docs: (row, text)."""
-    spark = docs.sparkSession
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    terms = sorted({t for q in queries.values() if q for c in q for t in c})
-    postings = docs.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"(?i)(?=({_trie(terms)}))"), F.lit(1)), lambda t: F.lower(t)))).alias("trigram"))
-    asked = [(t, kind, i, len(c)) for kind, q in queries.items() if q for i, c in enumerate(q) for t in c]
-    clauses = F.broadcast(spark.createDataFrame(asked, "trigram string, kind string, clause int, size int"))  # bounded by the rules
-    met = postings.join(clauses, "trigram").groupBy("row", "kind", "clause", "size").agg(F.count(F.lit(1)).alias("n")).where("n >= size")  # repeated rows count more than once
-    return met.groupBy("row").agg(F.collect_set("kind").alias("rules"))
+def row_trigrams(text: Column, terms: list[str]) -> Column:
+    """The distinct ones of ``terms`` that a text holds, in either case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?i)(?=({_trie(terms)}))"), F.lit(1)), lambda t: F.lower(t)))
+
+
+def asked(rules: tuple[Rule, ...] = RULES) -> list[str]:
+    return sorted({t for r in rules for c in trigram_query(r.pattern) or () for t in c})
+
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(trigram, key): the postings of the trigrams that the rules ask for."""
+    return docs.select(F.explode(row_trigrams(F.coalesce(F.col(text), F.lit("")), asked(rules))).alias("trigram"), key)
+
+
+def meets(trigrams: Column, clauses: list[frozenset[str]]) -> Column:
+    """Whether a row's postings hold all trigrams of some clause."""
+    found = F.lit(False)
+    for clause in clauses:
+        every = F.lit(True)
+        for t in sorted(clause):
+            every = every & F.array_contains(trigrams, t)
+        found = found | every
+    return found
 
 
 def _labelled(order: int, kind: str):
-    return lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"))
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["from"].alias("from"), s["to"].alias("to"))
 
 
 def _is(kind: str):
@@ -159,19 +180,18 @@ def _is(kind: str):
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, text, found): found is array<struct<kind,start,end>> by start, then the rules' order."""
+    """(key, text, found): found is array<struct<kind,start,end,from,to>> by start, then the rules' order."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("key", "text"))
-    wanted = materialize(candidates(rows.select("row", "text"), rules), "candidates")
-    joined = rows.join(wanted, "row", "left")
+    rows = rows.withColumn("trigrams", row_trigrams(F.col("text"), asked(rules)))
     lists = []
     for i, rule in enumerate(rules):
-        here = F.array_contains("rules", rule.kind) if trigram_query(rule.pattern) else F.col("text").rlike(rule.pattern)
-        found = F.when(F.coalesce(here, F.lit(False)), spans(F.col("text"), rule)).otherwise(F.array().cast(SPAN))
+        query = trigram_query(rule.pattern)
+        here = meets(F.col("trigrams"), query) if query else F.col("text").rlike(rule.pattern)
+        found = F.when(here, spans(F.col("text"), rule)).otherwise(F.array().cast(SPAN))
         lists.append(F.transform(found, _labelled(i, rule.kind)))
     every = F.array_sort(F.concat(*lists))
-    out = joined.select("key", "text", every.alias("every"))
-    return out.select("key", "text", F.transform("every", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("found"))
+    out = rows.select("key", "text", every.alias("every"))
+    return out.select("key", "text", F.transform("every", lambda s: F.struct(*(s[c].alias(c) for c in ("kind", "start", "end", "from", "to")))).alias("found"))
 
 
 def written(found: Column) -> Column:
@@ -181,17 +201,18 @@ def written(found: Column) -> Column:
 
 def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span replaced by a mark; overlapping spans become one."""
-    kind = "struct<at:bigint,out:array<string>>"
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")).cast(kind)
-
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"]).alias("out")).cast(kind)
 
-    done = F.aggregate(found, first, add)
-    rest = F.substring(text, (done["at"] + 1).cast("int"), F.length(text))
-    return F.when(F.size(found) > 0, F.concat(F.array_join(done["out"], ""), rest)).otherwise(text)
+    def cleaned(body: Column, spans: Column, reach: Column) -> Column:
+        """A span that starts before an earlier one ends adds no mark; what is kept is cut out of the text's bytes, which needs no count of characters."""
+        before = F.transform(spans, lambda s, i: F.coalesce(F.get(reach, i - 1), F.lit(0).cast("long")))
+        fresh = F.filter(F.arrays_zip(spans.alias("span"), before.alias("before")), lambda x: x["span"]["from"] >= x["before"])
+        part = lambda at, size: F.substring(body, (at + 1).cast("int"), size.cast("int")).cast("string")
+        gaps = F.transform(fresh, lambda x: F.concat(part(x["before"], x["span"]["from"] - x["before"]), F.lit(mark)))
+        return bind(F.array_max(reach), lambda last: F.concat(F.array_join(gaps, ""), part(last, F.octet_length(body) - last)))
+
+    reach = running(F.transform(found, lambda s: s["to"]), F.greatest)
+    done = bind(F.struct(text.cast("binary").alias("body"), found.alias("spans"), reach.alias("reach")), lambda x: cleaned(x["body"], x["spans"], x["reach"]))
+    return F.when(F.size(found) > 0, done).otherwise(text)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
