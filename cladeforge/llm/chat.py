@@ -1,12 +1,12 @@
 """Chat formatting (operator 4): typed content parts, a reversible template and the loss mask.
 
-A message is (conversation, turn, role, parts). A visitor flattens its parts in order: text is escaped and kept, each
-image, audio or document part becomes an ordered placeholder, and the attachment's reference and expanded token
-count are recorded. All of it is DataFrame expressions.
+A message is (conversation, turn, role, parts). A visitor flattens its parts in order: texts that follow each other are joined, then escaped and kept, so that no control
+string arises where two meet; each image, audio or document part becomes an ordered placeholder, and the attachment's reference and expanded token
+count are recorded. All of it is DataFrame expressions, linear in the size of a conversation but for a logarithm.
 
 Defined results: null text, role or part list count as empty; null ``tokens`` of an attachment as 0; a part of unknown type
-raises no error and is kept as an attachment of that type. Rows with the same conversation and turn are ordered by
-role, then content. A null conversation id is a conversation of its own. An empty table gives an empty table. Extra columns are ignored.
+raises no error and is kept as an attachment of that type, empty or not. A very long conversation is one row, as its formatted text is. Rows with the same conversation and turn are ordered by
+role, then content (ties are equal and interchangeable). A null conversation id is a conversation of its own. An empty table gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import table
+from cladeforge.llm.common import bind, running, table
 
 # The control strings of the template.
 START, END, ATTACH = "<|im_start|>", "<|im_end|>", "<|attach|>"
@@ -38,11 +38,29 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%")))
 
 
-def visit(part: Column) -> Column:
-    """One part as it stands in the formatted text; attachments are placeholders ``<|attach|>type:ref<|attach|>``."""
-    text = F.coalesce(part["text"], F.lit(""))
-    kind, ref = F.coalesce(part["type"], F.lit("text")), F.coalesce(part["ref"], F.lit(""))
-    return F.when(kind == "text", escape(text)).otherwise(F.concat(F.lit(ATTACH), escape_role(kind), F.lit(":"), escape(ref), F.lit(ATTACH)))
+def placeholder(part: Column) -> Column:
+    """``<|attach|>type:ref<|attach|>``; a colon of the type is written %3A."""
+    return F.concat(F.lit(ATTACH), F.replace(escape_role(part["type"]), F.lit(":"), F.lit("%3A")), F.lit(":"), escape(F.coalesce(part["ref"], F.lit(""))), F.lit(ATTACH))
+
+
+def is_text(part: Column) -> Column:
+    return F.coalesce(part["type"], F.lit("text")) == "text"
+
+
+def visit(parts: Column) -> Column:
+    """A message's parts as they stand in the formatted text: each attachment's placeholder, then all text up to the next one."""
+    nowhere = F.lit(-1)
+
+    def walk(parts: Column, stops: Column) -> Column:
+        def stretch(at: Column, i: Column) -> Column:
+            after = F.coalesce(F.get(stops, i + 1), F.size(parts))
+            texts = F.transform(F.slice(parts, at + 2, after - at - 1), lambda p: F.coalesce(p["text"], F.lit("")))
+            return F.concat(F.when(at == nowhere, F.lit("")).otherwise(placeholder(F.get(parts, at))), escape(F.array_join(texts, "")))
+
+        return F.array_join(F.transform(stops, stretch), "")
+
+    stops = F.concat(F.array(nowhere), F.filter(F.transform(parts, lambda p, i: F.when(~is_text(p), i)), lambda i: i.isNotNull()))
+    return bind(F.struct(parts.alias("parts"), stops.alias("stops")), lambda x: walk(x["parts"], x["stops"]))
 
 
 def text_parts(df: DataFrame, text: str = "text", out: str = "parts") -> DataFrame:
@@ -52,16 +70,16 @@ def text_parts(df: DataFrame, text: str = "text", out: str = "parts") -> DataFra
 
 
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: conv, formatted, loss_spans (start, end: code points of the text under the mask), attachments, n_tokens_attached."""
+    """One row per conversation: conv, formatted, loss_spans (the text under the mask; start, end: code points; from, to: bytes), attachments, n_tokens_attached."""
     rows = df.select(
         F.col(conv).alias("conv"),
         F.col(turn).alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.coalesce(F.col(parts).cast(PARTS), F.array().cast(PARTS)).alias("parts"),
     )
-    body = F.array_join(F.transform("parts", visit), "")
+    body = visit(F.col("parts"))
     files = F.transform(
-        F.filter("parts", lambda p: F.coalesce(p["type"], F.lit("text")) != "text"),
+        F.filter("parts", lambda p: ~is_text(p)),
         lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.lit(0).cast("long")).alias("tokens")),
     )
     rows = rows.select("conv", "turn", "role", body.alias("body"), files.alias("files"))
@@ -69,25 +87,25 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     out = rows.groupBy("conv").agg(turns.alias("turns"))
     head = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
     whole = lambda t: F.concat(head(t), t["body"], F.lit(END + "\n"))
-    state = "struct<at:bigint,spans:array<struct<start:bigint,end:bigint>>>"
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + t["head"]
-        span = F.struct(start.alias("start"), (start + t["body"]).alias("end"))
-        return F.struct((acc["at"] + t["whole"]).alias("at"), F.when(t["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans")).cast(state)
-
-    sizes = F.transform(
-        "turns",
-        lambda t: F.struct(
-            F.length(head(t)).cast("long").alias("head"), F.length(t["body"]).cast("long").alias("body"), F.length(whole(t)).cast("long").alias("whole"), (t["role"] == loss_role).alias("loss")
-        ),
-    )
-    out = out.withColumn("sizes", sizes)
+    both = lambda x: F.struct(F.length(x).cast("long").alias("chars"), F.octet_length(x).cast("long").alias("bytes"))
+    sizes = F.transform("turns", lambda t: F.struct(both(head(t)).alias("head"), both(t["body"]).alias("body"), both(whole(t)).alias("whole"), (t["role"] == loss_role).alias("loss")))
+
+    def masked(sizes: Column) -> Column:
+        size = {"chars": lambda s: s["whole"]["chars"], "bytes": lambda s: s["whole"]["bytes"]}
+        ends = {u: running(F.transform(sizes, f)).alias(u) for u, f in size.items()}
+        zipped = F.filter(F.arrays_zip(sizes.alias("s"), *ends.values()), lambda x: x["s"]["loss"])
+
+        def span(x: Column) -> Column:
+            start = {u: x[u] - x["s"]["whole"][u] + x["s"]["head"][u] for u in ends}
+            end = {u: start[u] + x["s"]["body"][u] for u in ends}
+            return F.struct(start["chars"].alias("start"), end["chars"].alias("end"), start["bytes"].alias("from"), end["bytes"].alias("to"))
+
+        return F.transform(zipped, span)
+
     return out.select(
         F.col("conv").alias(conv),
         F.array_join(F.transform("turns", whole), "").alias("formatted"),
-        F.aggregate("sizes", first.cast(state), step)["spans"].alias("loss_spans"),
+        bind(sizes, masked).alias("loss_spans"),
         F.flatten(F.transform("turns", lambda t: t["files"])).alias("attachments"),
         F.aggregate(F.flatten(F.transform("turns", lambda t: t["files"])), F.lit(0).cast("long"), lambda a, f: a + f["tokens"]).alias("n_tokens_attached"),
     )
@@ -105,12 +123,18 @@ def read_back(formatted: Column) -> Column:
     return F.transform(chunks, parse)
 
 
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask, unescaped; cut out of the bytes, which needs no count of characters."""
+    cut = lambda body, s: F.substring(body, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")).cast("string")
+    return bind(F.struct(formatted.cast("binary").alias("body"), spans.alias("spans")), lambda x: F.array_join(F.transform(x["spans"], lambda s: unescape(cut(x["body"], s))), ""))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     made = format_conversations(text_parts(rows.unionByName(extra)))
-    under = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    under = loss_text(F.col("formatted"), F.col("loss_spans"))
     back = made.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), under.alias("loss"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
