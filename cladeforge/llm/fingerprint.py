@@ -5,11 +5,12 @@ long, at spaces chosen by content; nothing is left out, so the leaves spell the
 kind; the root is the fingerprint. Equal roots mean equal texts; where roots differ, equal branches are skipped and the first differing ones locate an edit.
 Likeness of two trees: twice the code points of the leaves they share (as often as both have them) over all code points of both; 1 for two empty texts.
 
-The next document of each comes by a two-level successor search over ids, and texts travel once: to the range of ids they belong to, and the
-first of a range also to the range before it.
+The next document of each is the next row of its range of ids, and texts travel once: to the range they belong to, and the first of a range also to the range before it.
+Ranges are cut at quantiles of the ids, so they are even however the ids lie; an id with more rows than a range is cut further by the hash of the text. A range is
+read as a stream, so a task's memory does not grow with it.
 
-Defined results: null texts are empty; an empty text has a fixed root; rows with the same id follow each other by text, the next of each being the next row;
-null ids come before all others; a lone document is its own next; an empty table gives an empty table. Extra columns stay out of the way.
+Defined results: null texts are empty; an empty text has a fixed root; very long texts are read whole; rows with the same id (ties) follow each other by the hash of the text, the next of each being
+the next row; null ids come before all others; a lone document is its own next; an empty table gives an empty table. Extra columns stay out of the way, as only key and text are read.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from collections.abc import Iterator
 from hashlib import blake2b, sha256
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import materialize, table, text_batches
+from cladeforge.llm.common import table
 
 _SECTIONS = re.compile(r"(?<=\n)(?=\n)|(?<=\n\n)(?=[^\n])")
 _PARAGRAPHS = re.compile(r"[^\n]*\n|[^\n]+")
@@ -98,51 +100,52 @@ class Tree:
         return self.total
 
 
-def successors(ids: DataFrame, width: int = 4096) -> DataFrame:
-    """(id, next): the next larger id of each distinct id, null for the last. Windows hold ``width`` ids at most; the first of each range goes up a level."""
-    ids = ids.select("id").distinct()
-    edge = ids.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
-    if edge["lo"] is None or edge["hi"] - edge["lo"] < width:
-        return ids.withColumn("next", F.lead("id").over(Window.orderBy("id")))
-    ids = ids.withColumn("range", F.expr(f"(id - ({edge['lo']}L)) div {width}"))
-    inside = ids.withColumn("next", F.lead("id").over(Window.partitionBy("range").orderBy("id")))
-    firsts = ids.groupBy("range").agg(F.min("id").alias("first"))
-    above = successors(firsts.select(F.col("range").alias("id")), width)
-    after = above.where("next is not null").join(firsts.withColumnRenamed("range", "next"), "next").select(F.col("id").alias("range"), F.col("first").alias("follow"))
-    return inside.join(after, "range", "left").select("id", F.coalesce("next", "follow").alias("next"))
+def range_of(cuts: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The number of cuts up to (id, hash). A cut id that is there several times, as it holds several quantiles, is cut evenly over the hashes."""
+    lo, hi = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
+    part = np.minimum((hashes / 2.0**64 + 0.5) * (hi - lo), np.maximum(hi - lo - 1, 0)).astype(np.int64)
+    return np.where(hi > lo, lo + 1 + part, lo)
 
 
-def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", range_bytes: int = 4 << 20, most_ranges: int = 100_000) -> DataFrame:
-    """One row per document with its fingerprint, that of the edited text and the likenesses (see op5)."""
-    text_batches(docs.sparkSession)
+def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", range_bytes: int = 1 << 20, least: int = 1024, most: int = 100_000) -> DataFrame:
+    """One row per document with its fingerprint, that of the edited text and the likenesses (see op5). ``least`` to ``most`` ranges of ids: that many numbers go to the driver."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # Ranges of ids: about range_bytes of text each where ids are even, and at most most_ranges, so that their first ids can be broadcast. A range is read as a stream.
-    edge = rows.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi = edge["lo"] if edge["lo"] is not None else 0, edge["hi"] if edge["hi"] is not None else 0
-    ranges = max(256, min(most_ranges, -(-(edge["bytes"] or 0) // range_bytes)))
-    span = max(1, -(-(hi - lo + 1) // ranges))
-    low = lo - 1  # null ids stand before the first
-    at = F.floor((F.coalesce("id", F.lit(low)) - F.lit(low)) / F.lit(span)).cast("long")
-    rows = rows.withColumn("range", at)
-    firsts = materialize(rows.groupBy("range").agg(F.min(F.coalesce("id", F.lit(low))).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
-    follow = successors(firsts.select(F.col("range").alias("id")))
-    least = firsts.agg(F.min("range")).first()[0]
-    tails = follow.select(F.coalesce("next", F.lit(least)).alias("range"), F.col("id").alias("to")).join(firsts, "range").select("first", "to")
-    heads = rows.withColumn("first", F.coalesce("id", F.lit(low))).join(F.broadcast(tails), "first").groupBy("first", "to").agg(F.min("text").alias("text"))
-    heads = heads.select(F.col("to").alias("range"), F.lit(None).cast("long").alias("id"), F.lit(1).alias("tail"), "text")
-    dealt = rows.select("range", "id", F.lit(0).alias("tail"), "text").unionByName(heads)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "range").sortWithinPartitions("range", "tail", F.col("id").asc_nulls_first(), "text")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    edge = rows.agg(F.min("id").alias("lo"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    low = max((edge["lo"] or 0) - 1, -(1 << 63))  # null ids stand before the first
+    rows = rows.withColumn("place", F.coalesce("id", F.lit(low).cast("long")))
+    ranges = max(least, min(most, -(-(edge["bytes"] or 0) // range_bytes)))
+    cuts = rows.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("cuts")).first()["cuts"]
+    cut = spark.sparkContext.broadcast(np.sort(np.array(cuts or [], np.int64)))  # most numbers
+
+    @F.pandas_udf("int")
+    def ranged(place: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(range_of(cut.value, place.to_numpy(), hashes.to_numpy()).astype(np.int32))
+
+    placed = rows.withColumn("range", ranged("place", "hash"))
+    firsts = sorted(tuple(r) for r in placed.groupBy("range").agg(F.min(F.struct("place", "hash")).alias("f")).select("range", "f.place", "f.hash").collect())
+    tails = [(p, h, firsts[i - 1][0]) for i, (_, p, h) in enumerate(firsts)]  # the first of all goes to the last range
+    tails = spark.createDataFrame(tails, "place long, hash long, to int")
+    heads = rows.join(F.broadcast(tails), ["place", "hash"]).groupBy("place", "hash", "to").agg(F.min("text").alias("text"))  # a row a range
+    heads = heads.select(F.col("to").alias("range"), F.lit(None).cast("long").alias("id"), F.lit(1).alias("tail"), "place", "hash", "text")
+    dealt = placed.select("range", "id", F.lit(0).alias("tail"), "place", "hash", "text").unionByName(heads)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "range").sortWithinPartitions("range", "tail", "place", "hash", "text").select("id", "tail", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, repeated = None, [None, ()]
 
         def one(id_, text: str, tree: Tree, following: str) -> tuple[tuple, Tree]:
+            if text == following and repeated[0] == text:  # of repeated rows all but the last give the same
+                return (id_, *repeated[1]), tree
             half = len(text) // 2
             edited = text[: len(text) - half] + following[:half] if half else text
             made, after = Tree(edited), Tree(following)
-            row = (id_, len(text), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), tree.root.hex(), made.root.hex(), tree.likeness(made), tree.likeness(after), tree.first_edit(made), len(tree.sections))
-            return row, after
+            told = (len(text), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), tree.root.hex(), made.root.hex(), tree.likeness(made), tree.likeness(after), tree.first_edit(made), len(tree.sections))
+            if text == following:
+                repeated[:] = text, told
+            return (id_, *told), after
 
         for pdf in batches:
             out = []
