@@ -1,125 +1,171 @@
 """Toxicity (operator 10): nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Fit, on at most ``fit_rows`` labelled rows (those with the smallest hash of their id; the documented bound of the sample): features are words and
-their prefixes of 4 to 6 letters; the ``vocabulary`` most tied to the toxic label are kept, by log-likelihood ratio, from a ratio that chance does not reach and a share of toxic rows. An example's vector is (1 + ln tf) * idf over them, with one term of fixed weight for all other words, normed; examples with equal vectors are one entry with their number and number of toxic ones. The entries are an inverted
-index in blocks of 64 with each term's greatest weight a block. Both bounds are parameters, so the index is of bounded size and goes to every executor.
-
-Score, for every whole text: the blocks' upper bounds order them, and the search ends when no block left can enter the ``k`` nearest, which
-is exact. Votes weigh by (distance + 0.05) ** -2 and the log of an entry's examples. Evidence: ids and distances of the nearest examples.
-
-Defined results: null, empty and feature-less texts are nearest to the entry of feature-less examples; ties in
-distance go by entry order; repeated rows are scored each; null labels and labels without a document are ignored; several labels of an id
-count as the greatest; without any labelled row the score is 0; an empty table gives an empty table.
+Fit, on at most ``fit_rows`` labelled rows (those with the smallest hash of their id; the documented bound of the sample). A fifth of them is kept for calibration,
+the others give the statistics; of these, at most ``index_rows`` are the examples of the index (the toxic ones up to half, then clean ones). Features are all
+words of a text and their prefixes of 3 and 5 letters, as words are inflected and joined; a feature counts from two rows on, and what is left out
+(features of one row, or of none) is one constant term. A vector is (1 + ln tf) * idf * relevance over all of a text's features, normed. Relevance is the
+lift of a feature's toxic share over the base share, shrunk towards it for rare features, and never below ``floor``: no feature is dropped for its label.
+
+The index holds the examples in blocks of 64 with each feature's greatest weight in a block. For every whole text the blocks' upper bounds order them, and the search
+ends when no block left can enter the ``k`` nearest, which is exact. Votes weigh by (distance + 0.05) ** -2. An isotonic curve, fitted on the rows kept for
+calibration, turns votes into a score: about that share of texts with such a vote is toxic. Evidence: ids and distances of the nearest examples.
+
+Memory is bounded by ``fit_rows`` and ``index_rows`` on the driver and on each executor; texts are scored one by one where they lie, and nothing of a corpus is gathered.
+
+Defined results: null, empty and feature-less texts have the constant term alone and are scored by the examples nearest to it; very long texts are scored whole; ties in
+distance go by entry order (by id); repeated rows are scored each, equally; null labels and labels without a document are ignored; several labels of an id
+count as the greatest; without any labelled row the score is 0; an empty table gives an empty table. Of extra columns all are passed on, but columns
+named score, predicted or evidence are replaced by the results.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import materialize, table, text_batches
+from cladeforge.llm.common import arrow_batches, materialize, table
 
-BLOCK = 64
+BLOCK, OFTEN = 64, 16
+PREFIXES = (3, 5)
 _WORD = re.compile(r"\w+")
 
 
 def features_of(token: str) -> list[str]:
     """A token without white space: its words and their prefixes."""
-    return [f for w in _WORD.findall(token) for f in (w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n))]
+    return [f for w in _WORD.findall(token) for f in (w, *(w[:n] + "*" for n in PREFIXES if len(w) > n))]
 
 
 class Features:
-    """Counts of vocabulary features in a text; what a token gives is remembered, as most tokens come again."""
+    """(ids, counts) of known features in a text; what a token gives is remembered, as most tokens come again."""
 
-    def __init__(self, index: dict[str, int], remembered: int = 300_000) -> None:
+    def __init__(self, index: dict[str, int], remembered: int = 60_000) -> None:
         self.index, self.known, self.most = index, {}, remembered
 
-    def __call__(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for token, n in Counter((text or "").lower().split()).items():
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        ids: list[int] = []
+        for token in (text or "").lower().split():
             got = self.known.get(token)
             if got is None:
                 if len(self.known) >= self.most:
                     self.known.clear()
                 got = self.known[token] = tuple(self.index[f] for f in features_of(token) if f in self.index)
-            for i in got:
-                out[i] = out.get(i, 0) + n
-        return out
+            ids += got
+        return np.unique(np.array(ids, np.int64), return_counts=True)
+
+
+def unit(ids: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last term stands for what no feature holds and is in every text."""
+    terms = np.append(ids, len(weights) - 1)
+    raw = np.append(1 + np.log(counts), 1.0) * weights[terms]
+    return terms, raw / np.sqrt(raw @ raw)
 
 
 class BlockMaxIndex:
-    """Entries (sparse unit vectors) as postings in blocks; ``nearest`` is exact."""
-
-    def __init__(self, idf: np.ndarray, vectors: list[tuple[tuple[int, float], ...]], labels: list[tuple[int, int, int]]) -> None:
-        """labels: for each vector the number of examples, of toxic ones, and one id."""
-        order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda x: x[1])[0], vectors[i]))
-        self.idf, self.labels = idf, np.array([labels[i] for i in order], np.int64).reshape(-1, 3)
-        self.blocks = -(-len(order) // BLOCK)
-        self.top = np.zeros((len(idf), max(1, self.blocks)), np.float32)
-        self.lists: dict[tuple[int, int], tuple[list, list]] = {}
-        for at, i in enumerate(order):
-            for t, w in vectors[i]:
-                ids, ws = self.lists.setdefault((t, at // BLOCK), ([], []))
-                ids.append(at % BLOCK)
-                ws.append(w)
-                self.top[t, at // BLOCK] = max(self.top[t, at // BLOCK], np.nextafter(np.float32(w), np.float32(2)))
-        self.lists = {k: (np.array(a), np.array(b)) for k, (a, b) in self.lists.items()}
-
-    def nearest(self, query: tuple[tuple[int, float], ...], k: int) -> list[tuple[float, int]]:
-        """(cosine, entry), best first, of the k nearest entries with a cosine over 0."""
-        terms = [t for t, _ in query]
-        bound = np.array([w for _, w in query]) @ self.top[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[0][0]:
+    """Examples (sparse unit vectors) as postings in blocks; ``nearest`` is exact. Terms that many examples have are kept as rows of one matrix, which is the same as postings but faster."""
+
+    def __init__(self, size: int, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[tuple[int, int]]) -> None:
+        """size: the number of terms; labels: for each vector whether it is toxic, and its id."""
+        heavy = [max(zip(w.tolist(), t.tolist(), strict=True), default=(0.0, 0)) for t, w in vectors]
+        order = sorted(range(len(vectors)), key=lambda i: (heavy[i][1], labels[i][1]))  # alike examples share blocks, which tightens their bounds
+        self.labels = np.array([labels[i] for i in order], np.int64).reshape(-1, 2)
+        self.blocks = max(1, -(-len(order) // BLOCK))
+        entry = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        term = np.concatenate([vectors[i][0] for i in order]) if order else np.empty(0, np.int64)
+        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.empty(0)
+        often = np.bincount(term, minlength=size) * OFTEN >= max(1, len(order))
+        self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)  # of the matrix, or -1
+        self.rows = np.zeros((int(often.sum()), self.blocks * BLOCK), np.float32)
+        dense = often[term]
+        self.rows[self.row[term[dense]], entry[dense]] = weight[dense]
+        entry, term, weight = entry[~dense], term[~dense], weight[~dense]
+        by = np.lexsort((entry, term))
+        self.entry, self.weight = entry[by].astype(np.int32), weight[by].astype(np.float32)
+        cell = term[by] * self.blocks + self.entry // BLOCK
+        self.cut = np.searchsorted(cell, np.arange(size * self.blocks + 1)).astype(np.int32)  # where the postings of (term, block) start
+        self.top = np.zeros(size * self.blocks, np.float32)
+        np.maximum.at(self.top, cell, self.weight)
+        self.top = self.top.reshape(size, self.blocks)
+
+    def _scores(self, terms: np.ndarray, query: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """What the postings add to the cosines of all entries of the blocks, a row a block."""
+        cells = terms[:, None] * self.blocks + blocks
+        starts, sizes = self.cut[cells], self.cut[cells + 1] - self.cut[cells]
+        flat = sizes.ravel()
+        full = np.flatnonzero(flat)
+        many = flat[full]
+        at = np.repeat(starts.ravel()[full] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        row, col = full // len(blocks), full % len(blocks)
+        place = np.repeat(col * BLOCK, many) + self.entry[at] % BLOCK
+        return np.bincount(place, np.repeat(query[row], many) * self.weight[at], len(blocks) * BLOCK).reshape(-1, BLOCK)
+
+    def nearest(self, terms: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, entries), best first, of the k nearest examples with a cosine over 0."""
+        row = self.row[terms]
+        known = (query[row >= 0].astype(np.float32) @ self.rows[row[row >= 0]]).astype(float).reshape(-1, BLOCK)
+        terms, query = terms[row < 0], query[row < 0]
+        bound = (known.max(axis=1) + query.astype(np.float32) @ self.top[terms]) * (1 + 1e-5)  # above what single precision may lose
+        order = np.argsort(-bound, kind="stable")
+        best, entries, done, step = np.empty(0), np.empty(0, np.int64), 0, 4
+        while done < self.blocks:
+            chosen = order[done : done + step]
+            chosen = chosen[bound[chosen] >= best[k - 1]] if len(best) >= k else chosen[bound[chosen] > 0]
+            if not len(chosen):
                 break
-            score = np.zeros(BLOCK)
-            for t, w in query:
-                if got := self.lists.get((t, b)):
-                    score[got[0]] += w * got[1]
-            for i in np.flatnonzero(score > 0).tolist():
-                entry = (float(score[i]), -(b * BLOCK + i))
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
-
-
-def unit(tf: dict[int, int], idf: np.ndarray) -> tuple[tuple[int, float], ...]:
-    """The last term stands for all words outside the vocabulary and is in every text."""
-    raw = [(t, (1 + float(np.log(n))) * float(idf[t])) for t, n in sorted(tf.items())] + [(len(idf) - 1, float(idf[-1]))]
-    norm = sum(w * w for _, w in raw) ** 0.5
-    return tuple((t, w / norm) for t, w in raw)
+            got = (known[chosen] + self._scores(terms, query, chosen)).ravel()
+            of = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            best, entries = np.concatenate([best, got[got > 0]]), np.concatenate([entries, of[got > 0]])
+            first = np.lexsort((entries, -best))[:k]
+            best, entries, done, step = best[first], entries[first], done + step, 2 * step
+        return best, entries
+
+
+def isotonic(votes: np.ndarray, labels: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (vote, share) of a rising curve: pooled adjacent violators, each pool with one row more of the base share."""
+    pools: list[list[float]] = []  # rows, toxic ones, sum of votes
+    for v, y in sorted(zip(votes.tolist(), labels.tolist(), strict=True)):
+        pools.append([1.0, y, v])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            n, a, s = pools.pop()
+            pools[-1] = [pools[-1][0] + n, pools[-1][1] + a, pools[-1][2] + s]
+    x = np.array([s / n for n, _, s in pools])
+    y = np.maximum.accumulate(np.array([(a + base) / (n + 1) for n, a, _ in pools]))
+    return x, y
 
 
 class Model:
-    """The fitted index with its features."""
+    """The fitted index with its features and the curve from votes to scores."""
 
-    def __init__(self, index: dict[str, int], found: BlockMaxIndex, k: int) -> None:
-        self.index, self.found, self.k = index, found, k
+    def __init__(self, index: dict[str, int], weights: np.ndarray, found: BlockMaxIndex, k: int) -> None:
+        self.index, self.weights, self.found, self.k = index, weights, found, k
+        self.curve: tuple[np.ndarray, np.ndarray] | None = None
 
-    def score(self, tf: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.found.nearest(unit(tf, self.found.idf), self.k)
-        votes = total = 0.0
-        for cosine, i in near:
-            n, toxic, _ = self.found.labels[i]
-            w = (max(0.0, 1 - cosine) + 0.05) ** -2 * np.log1p(n)
-            votes, total = votes + w * toxic / n, total + w
-        return float(votes / total) if total else 0.0, near
+    def vote(self, ids: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        cosines, entries = self.found.nearest(*unit(ids, counts, self.weights), self.k)
+        w = (np.maximum(0.0, 1 - cosines) + 0.05) ** -2
+        return float(w @ self.found.labels[entries, 0] / w.sum()) if len(w) else 0.0, cosines, entries
 
+    def score(self, vote: float) -> float:
+        return vote if self.curve is None else float(np.interp(vote, *self.curve))
 
-def fit(examples: DataFrame, vocabulary: int = 4096, min_ratio: float = 33.0, min_share: float = 0.75, rest_weight: float = 5.0, k: int = 25) -> Model:
-    """examples: (key, text, label), bounded by the caller. The driver gets ``vocabulary`` features and one short vector an example."""
 
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def relevance(toxic: Column, clean: Column, base: float, prior: float = 5.0, floor: float = 0.01, power: float = 1.5) -> Column:
+    """The lift of a feature's toxic share over the base share, as if ``prior`` more rows of the base share had it."""
+    lift = ((toxic + prior * base) / (toxic + clean + prior) - base) / max(1e-9, 1 - base)
+    return F.greatest(F.lit(floor), F.pow(F.greatest(F.lit(0.0), lift), F.lit(power)))
+
+
+def fit(examples: DataFrame, index_rows: int = 1_200, rest_weight: float = 1.0, k: int = 25, least_calibration: int = 20) -> Model:
+    """examples: (key, text, label, part), bounded by the caller; part 0 calibrates. The driver gets the features of the index's examples and the examples as numbers."""
+    from pyspark.sql import Window
+
+    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             seen = (Counter(), Counter())
             for t, y in zip(pdf["text"], pdf["label"], strict=True):
@@ -128,42 +174,51 @@ def fit(examples: DataFrame, vocabulary: int = 4096, min_ratio: float = 33.0, mi
             if keys:
                 yield pd.DataFrame({"f": keys, "clean": [seen[0][x] for x in keys], "toxic": [seen[1][x] for x in keys]})
 
-    total = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = examples.where("part > 0")
+    total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = total.get(0, 0), total.get(1, 0)
-    per = examples.mapInPandas(counts, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a"))
-    share = toxic / max(1, clean + toxic)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    part = lambda x, p: F.when(x > 0, x * F.ln(x / ((a + b) * max(p, 1e-12)))).otherwise(0.0)
-    ratio = 2 * (part(a, share) + part(b, 1 - share))
-    tied = per.withColumn("ratio", ratio).where((a > (a + b) * share) & (a >= (a + b) * min_share) & (F.col("ratio") >= min_ratio))
-    chosen = tied.orderBy(F.desc("ratio"), "f").limit(vocabulary).select("f", (F.col("a") + F.col("b")).alias("df")).collect()
-    index = {r["f"]: i for i, r in enumerate(chosen)}
-    idf = np.array([*(np.log(1 + (clean + toxic) / r["df"]) for r in chosen), rest_weight])
+    base = toxic / max(1, clean + toxic)
+    least = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")  # of at most fit_rows rows
+    most = F.when(F.col("label") == 1, max(index_rows // 2, index_rows - clean)).otherwise(max(index_rows - toxic, index_rows // 2))
+    chosen = materialize(known.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= most).select("key", "text", "label"), "index_examples")
+    count = "f string, clean long, toxic long"
+    both = F.col("a") + F.col("b")
+    of_all = known.select("text", "label").mapInPandas(bags, count).groupBy("f").agg(F.sum("clean").cast("double").alias("b"), F.sum("toxic").cast("double").alias("a")).where(both >= 2)
+    of_index = chosen.select("text", "label").mapInPandas(bags, count).select("f").distinct()
+    rows = of_all.join(of_index, "f", "left_semi").select("f", (F.ln(1 + (clean + toxic) / both) * relevance(F.col("a"), F.col("b"), base)).alias("w")).toPandas()
+    rows = rows.sort_values("f", ignore_index=True)
+    index = {f: i for i, f in enumerate(rows["f"])}
+    weights = np.append(rows["w"].to_numpy(float), rest_weight)
+    names = examples.sparkSession.sparkContext.broadcast(index)  # bounded by index_rows
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = Features(index)
+        counter = Features(names.value)
         for pdf in batches:
-            tf = [counter(t) for t in pdf["text"]]
-            yield pd.DataFrame({"key": pdf["key"], "label": pdf["label"], "terms": [sorted(x) for x in tf], "n": [[x[t] for t in sorted(x)] for x in tf]})
+            got = [counter(t) for t in pdf["text"]]
+            yield pd.DataFrame({"key": pdf["key"], "label": pdf["label"], "ids": [i.astype("<i4").tobytes() for i, _ in got], "n": [n.astype("<i4").tobytes() for _, n in got]})
 
-    rows = examples.mapInPandas(vectors, "key long, label int, terms array<int>, n array<int>")
-    rows = rows.groupBy("terms", "n").agg(F.count(F.lit(1)).alias("all"), F.sum("label").alias("toxic"), F.min("key").alias("key")).collect()
-    entries = [unit(dict(zip(r["terms"], r["n"], strict=True)), idf) for r in rows]
-    return Model(index, BlockMaxIndex(idf, entries, [(r["all"], r["toxic"], r["key"]) for r in rows]), k)
+    made = chosen.mapInPandas(vectors, "key long, label int, ids binary, n binary").toPandas().sort_values("key", ignore_index=True)
+    read = lambda b: np.frombuffer(b, "<i4").astype(np.int64)
+    units = [unit(read(i), read(n), weights) for i, n in zip(made["ids"], made["n"], strict=True)]
+    model = Model(index, weights, BlockMaxIndex(len(weights), units, list(zip(made["label"].tolist(), made["key"].tolist(), strict=True))), k)
+    kept = score_texts(examples.where("part = 0").select("label", "text"), model).select("label", "score").toPandas()
+    if kept["label"].nunique() == 2 and len(kept) >= least_calibration:
+        model.curve = isotonic(kept["score"].to_numpy(), kept["label"].to_numpy(), base)
+    return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000) -> DataFrame:
-    """(key, text, label) of at most about ``fit_rows`` labelled ids outside the held-out fold, by the smallest hash of the id."""
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # fit_rows rows at most
-    return found.select(F.col("doc_id").cast("long").alias("key"), "text", "label")
+def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text, label, part) of at most about ``fit_rows`` labelled ids outside the held-out fold, by the smallest hash of the id."""
+    held = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0
+    chosen = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull() & ~held).groupBy(key).agg((F.max("toxic") > 0).cast("int").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64(key), key).limit(fit_rows).select(F.col(key).cast("long").alias("key"), "label")
+    found = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")  # fit_rows rows at most
+    return found.select("key", "text", "label", F.pmod(F.xxhash64(F.lit("part"), F.col("key")), F.lit(5)).cast("int").alias("part"))
 
 
-def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score, predicted and evidence (ids:distance of the five nearest examples)."""
-    handle = docs.sparkSession.sparkContext.broadcast(model)  # bounded by vocabulary and fit_rows
+    handle = docs.sparkSession.sparkContext.broadcast(model)  # bounded by index_rows
 
     @F.pandas_udf("struct<score:double,evidence:string>")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -172,24 +227,26 @@ def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
         for texts in batches:
             rows = []
             for t in texts:
-                tf = counter(t)
-                id_ = tuple(sorted(tf.items()))
-                if id_ not in known:
-                    if len(known) > 50_000:
+                copy = blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if copy not in known:
+                    if len(known) >= 10_000:
                         known.clear()
-                    score, near = model.score(tf)
-                    known[id_] = score, ",".join(f"{model.found.labels[i][2]}:{max(0.0, 1 - s):.4f}" for s, i in near[:5])
-                rows.append(known[id_])
+                    vote, cosines, entries = model.vote(*counter(t))
+                    near = zip(model.found.labels[entries[:5], 1].tolist(), np.maximum(0.0, 1 - cosines[:5]).tolist(), strict=True)
+                    known[copy] = model.score(vote), ",".join(f"{i}:{d:.4f}" for i, d in near)
+                rows.append(known[copy])
             yield pd.DataFrame(rows, columns=["score", "evidence"])
 
-    out = docs.withColumn("_rate", rate(F.col(text)))
-    return out.select(*docs.columns, F.col("_rate.score").alias("score"), (F.col("_rate.score") >= 0.5).cast("int").alias("predicted"), F.col("_rate.evidence").alias("evidence"))
+    fresh = ("score", "predicted", "evidence")
+    out = docs.select("*", rate(F.col(text)).alias("_rate")) if "_rate" not in docs.columns else docs.withColumn("_rate", rate(F.col(text)))
+    kept = [c for c in docs.columns if c.lower() not in (*fresh, "_rate")]
+    return out.select(*kept, F.col("_rate.score").alias("score"), (F.col("_rate.score") >= 0.5).cast("int").alias("predicted"), F.col("_rate.evidence").alias("evidence"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text_batches(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(materialize(training_rows(docs, table(spark, sf_dir, "labels")), "examples"))
+    with arrow_batches(spark):
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        model = fit(materialize(training_rows(docs, table(spark, sf_dir, "labels")), "examples"))
     scored = score_texts(docs, model)
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "evidence")
