@@ -12,8 +12,10 @@ Documents are dealt to chunks of bounded size by their id. A chunk sends each na
 piles up anywhere; answers are one bit a name. Texts are shuffled once, and all passes over a chunk read that one shuffle. Whole copies are
 found first, by digests, and take no part.
 
-Defined results: null texts are empty; documents below the threshold lose nothing; equal ids do not cover each other; null ids count as
-smaller than all others, and as one document; repeated rows get equal results; an empty table gives an empty table. Extra columns stay out of the way.
+A chunk sends a row to each part that one of its names belongs to, so rows are never more than names and grow with the text, not with its square.
+
+Defined results: null texts are empty; documents below the threshold lose nothing; very long texts are read whole, in one chunk; equal ids (ties) do not cover each other; null ids count as
+smaller than all others, and as one document; repeated rows get equal results; an empty table gives an empty table. Extra columns stay out of the way, as only key and text are read.
 """
 
 from __future__ import annotations
@@ -181,13 +183,12 @@ def _unpack48(b: bytes) -> np.ndarray:
 
 
 def _split(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, indices) in rising order of part and index."""
+    """(part, indices) in rising order of part and index, of the parts that occur: as many steps as values at most, however many parts there are."""
     part = part.astype(np.uint16 if parts < 1 << 16 else np.int64)
     order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        if cuts[p] < cuts[p + 1]:
-            yield p, order[cuts[p] : cuts[p + 1]]
+    cuts = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1], [True]])) if len(part) else np.empty(0, np.int64)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(part[order[a]]), order[a:b]
 
 
 def _distinct(names: list[np.ndarray], docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
