@@ -5,7 +5,9 @@ input) decides the whole best-fit-decreasing run. The driver plays it on counts:
 capacity in logarithmic time, and all bins of that capacity take their pieces at once. The outcome is a list of
 segments (length, range of piece ranks, range of bins), which executors look up by each piece's rank within its length.
 
-Defined results: null or empty text is the end token alone; repeated rows are packed each; null ids are kept; an empty table gives an empty table.
+Defined results: null or empty text is the end token alone; very long texts are encoded whole and cut into pieces, the first of which may be shorter; pieces of equal length (ties)
+are ranked by id, piece and checksum, which are equal for repeated rows only, so their places are interchangeable; repeated rows are packed each; null ids are kept; an empty table
+gives an empty table. Extra columns stay out of the way, as only key and text are read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import buckets_for, materialize, number_rows, table, text_batches
+from cladeforge.llm.common import arrow_batches, buckets_for, materialize, number_rows, table
 
 CAPACITY, END_ID = 1024, 2
 
@@ -180,8 +182,8 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, length:
 
 
 def best_fit_pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ranks_path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    text_batches(docs.sparkSession)
-    pieces = materialize(tokenize_pieces(docs, key, text, capacity, end_id, ranks_path, keep_ids), "pieces")
+    with arrow_batches(docs.sparkSession):
+        pieces = materialize(tokenize_pieces(docs, key, text, capacity, end_id, ranks_path, keep_ids), "pieces")
     return pack(pieces, [key, "piece", "start", "length", "ids_crc32"], capacity)
 
 
