@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FILE_BYTES = 64 << 20
+FILE_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def size_of(df: DataFrame) -> int:
-    """The planner's estimate in bytes; that of a written table is its size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The bytes of the tables and files that ``df`` reads; of a written table, its size."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def in_few_files(df: DataFrame, size: int | None = None) -> DataFrame:
-    """``df`` in about one task for each FILE_BYTES, but two tasks a core at least, so that small tables are not written as many small files.
+    """``df`` in about one task for each FILE_BYTES read, but two tasks a core at least, so that small tables are not written as many small files. It never splits a partition.
 
     Each new file costs a request to the store; Hadoop's local file system even starts a process for each, which for a moment counts as large as its executor.
     """
@@ -53,7 +54,7 @@ def in_few_files(df: DataFrame, size: int | None = None) -> DataFrame:
 def materialize(df: DataFrame, name: str, size: int | None = None) -> DataFrame:
     """Cuts the lineage: writes ``df`` to the shared folder and reads it again, so that lost executors lose nothing.
 
-    size: a bound of the written bytes where the planner's estimate is of no use, as for joins.
+    size: the bytes to go by where much more is written than read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

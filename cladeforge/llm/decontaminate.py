@@ -53,7 +53,7 @@ class PositionalIndex:
         posted = docs.select("row", F.posexplode(words_of(F.coalesce(F.col(text), F.lit("")))).alias("pos", "word"))
         lexicon = materialize((posted if words is None else words).select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "lexicon")
         postings = posted.join(sized(lexicon), "word").select("term", "row", "pos").sortWithinPartitions("term")
-        return cls(lexicon, materialize(postings, "postings", size_of(docs)))
+        return cls(lexicon, materialize(postings, "postings"))
 
     def save(self, path: str) -> None:
         self.lexicon.write.parquet(f"{path}/lexicon")
@@ -76,19 +76,19 @@ class Decontaminator:
         self.items = materialize(known.distinct().withColumn("item_key", F.monotonically_increasing_id()), "items")
         placed = self.items.select("item_key", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
         self.index = index or PositionalIndex.build(self.docs, placed.select("word"))
-        self.item_terms = materialize(placed.join(sized(self.index.lexicon), "word", "left").select("item_key", "n", "at", "term"), "item_terms", size_of(self.items) * 20)
+        self.item_terms = materialize(placed.join(sized(self.index.lexicon), "word", "left").select("item_key", "n", "at", "term"), "item_terms")
 
     def anchors(self, a_window: int) -> DataFrame:
         """(term, item_key, at, n): the ``a_window`` rarest positions of each window."""
         asked = self.item_terms.select("term").distinct()
         counts = self.index.postings.select("term").join(sized(self.item_terms).select("term").distinct(), "term", "left_semi").groupBy("term").count()
-        counts = materialize(asked.join(counts, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("count")), "counts", size_of(self.item_terms))
+        counts = materialize(asked.join(counts, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("count")), "counts")
         rated = self.item_terms.join(sized(counts), "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))  # words that the index does not know are the rarest
         per = rated.groupBy("item_key", "n").agg(F.sort_array(F.collect_list(F.struct("at", "count", "term"))).alias("all"))
         width = F.least("n", F.lit(self.window))
         rarest = lambda s: F.slice(F.sort_array(F.transform(F.slice("all", s, width), lambda x: F.struct(x["count"], x["at"], x["term"]))), 1, a_window)
         chosen = per.select("item_key", "n", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.col("n") - width + 1), rarest)))).alias("x"))
-        return materialize(chosen.select("x.term", "item_key", "x.at", "n"), "anchors", size_of(self.item_terms))
+        return materialize(chosen.select("x.term", "item_key", "x.at", "n"), "anchors")
 
     def hits(self, a_window: int) -> DataFrame:
         """(row, item_key, n, at, begin): the anchors' postings, adjusted to where the item would begin."""
@@ -98,7 +98,7 @@ class Decontaminator:
     def verified(self, found: DataFrame, slop: int = 0) -> DataFrame:
         """(row, item_key, begin, n, ats) for each alignment (row, item_key, begin): the words of the item that the row has in place, or not more than ``slop`` words off."""
         wanted = found.join(sized(self.item_terms), "item_key").select("row", "item_key", "begin", "n", "at", "term", (F.col("begin") + F.col("at")).alias("place"))
-        rows = materialize(found.select("row").distinct(), "rows_met", size_of(found))
+        rows = materialize(found.select("row").distinct(), "rows_met")
         postings = self.index.postings.join(sized(rows), "row", "left_semi")
         if slop:
             there = postings.select("row", "term", F.explode(F.sequence(F.col("pos") - slop, F.col("pos") + slop)).alias("place"))
@@ -110,7 +110,7 @@ class Decontaminator:
         """(row, item, hits: positions of words inside occurring windows)."""
         # An anchor meets an alignment once, so two rows are two anchors.
         alignments = self.hits(2).groupBy("row", "item_key", "n", "begin").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= F.least("n", F.lit(2)))
-        found = materialize(alignments.select("row", "item_key", "begin"), "alignments", size_of(self.index.postings))
+        found = materialize(alignments.select("row", "item_key", "begin"), "alignments")
         width = F.least("n", F.lit(self.window))
         starts = F.filter("ats", lambda a, i: F.coalesce(F.get("ats", i + width - 1) == a + width - 1, F.lit(False)))
         hits = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(F.col("begin") + s, F.col("begin") + s + width - 1))))
@@ -133,7 +133,7 @@ class Decontaminator:
         found = near.groupBy("row", "item_key", "n", "bucket").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.collect_set("begin").alias("begins"))
         found = found.where((F.col("lo") < F.col("hi")) | (F.col("n") == 1)).select("row", "item_key", F.explode("begins").alias("begin"))
         found = found.select("row", "item_key", F.explode(F.sequence(F.col("begin") - slop, F.col("begin") + slop)).alias("begin")).distinct()
-        found = materialize(found, "near_alignments", size_of(self.index.postings))
+        found = materialize(found, "near_alignments")
         got = self.verified(found, slop).select("row", "item_key", "begin", (F.size("ats") / F.col("n")).alias("share")).where(F.col("share") >= share)
         if slop:
             got = got.withColumn("place", F.floor(F.col("begin") / wide)).groupBy("row", "item_key", "place").agg(F.min(F.struct(-F.col("share"), "begin")).alias("best"))
@@ -148,7 +148,7 @@ class Decontaminator:
             F.count(F.lit(1)).alias("n_items"),
             F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"),
         )
-        per_row = materialize(per_row, "hits", size_of(self.index.postings))
+        per_row = materialize(per_row, "hits")
         rows = self.docs.select("key", "row", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
         zero = F.lit(0).cast("long")
         return rows.join(per_row, "row", "left").select(

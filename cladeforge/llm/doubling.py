@@ -18,9 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeforge.llm.common import materialize, with_rows
+from cladeforge.llm.common import materialize, size_of, with_rows
 
-FIRST = 8
+FIRST, POSITION_BYTES = 8, 30
 
 
 def positions(docs: DataFrame) -> DataFrame:
@@ -46,15 +46,15 @@ def paired(ranked: DataFrame, offset: int) -> DataFrame:
 def ranked_anew(pairs: DataFrame) -> DataFrame:
     """(file, at, id, pos, rank) of the pairs that occur more than once; ranks follow the order of the pairs."""
     repeated = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("a", "b")
-    ranks = materialize(repeated.select("a", "b", F.monotonically_increasing_id().alias("rank")), "ranks", 1 << 60)
-    return materialize(pairs.join(ranks, ["a", "b"]).select("file", "at", "id", "pos", "rank"), "ranked", 1 << 60)
+    ranks = materialize(repeated.select("a", "b", F.monotonically_increasing_id().alias("rank")), "ranks")
+    return materialize(pairs.join(ranks, ["a", "b"]).select("file", "at", "id", "pos", "rank"), "ranked")
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 50) -> DataFrame:
     """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256; ``threshold`` is 32 to 64."""
     null = -(1 << 63)
     rows = with_rows(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(null)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    ranked, length = ranked_anew(paired(materialize(positions(rows), "positions", 1 << 60), FIRST)), 2 * FIRST
+    ranked, length = ranked_anew(paired(materialize(positions(rows), "positions", POSITION_BYTES * size_of(rows)), FIRST)), 2 * FIRST
     while 2 * length <= threshold:
         ranked, length = ranked_anew(paired(ranked, length)), 2 * length
     pairs = paired(ranked, threshold - length)

@@ -2,7 +2,7 @@
 
 Fit, on at most ``fit_rows`` labelled rows (those with the smallest hash of their id; the documented bound of the sample). A fifth of them is kept for calibration,
 the others give the statistics; of these, at most ``index_rows`` are the examples of the index (the toxic ones up to half, then clean ones). Features are all
-words of a text and their prefixes of 3 and 5 letters, as words are inflected and joined; a feature counts from two rows on, and what is left out
+words of a text and their prefixes of 5 letters, as words are inflected and joined; a feature counts from two rows on, and what is left out
 (features of one row, or of none) is one constant term. A vector is (1 + ln tf) * idf * relevance over all of a text's features, normed. Relevance is the
 lift of a feature's toxic share over the base share, shrunk towards it for rare features, and never below ``floor``: no feature is dropped for its label.
 
@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,31 +34,38 @@ from pyspark.sql import functions as F
 from cladeforge.llm.common import arrow_batches, materialize, table
 
 BLOCK, OFTEN = 64, 16
-PREFIXES = (3, 5)
+PREFIX = 5
 _WORD = re.compile(r"\w+")
 
 
 def features_of(token: str) -> list[str]:
     """A token without white space: its words and their prefixes."""
-    return [f for w in _WORD.findall(token) for f in (w, *(w[:n] + "*" for n in PREFIXES if len(w) > n))]
+    words = (token,) if token.isalnum() else _WORD.findall(token)
+    return [f for w in words for f in ((w, w[:PREFIX] + "*") if len(w) > PREFIX else (w,))]
+
+
+class _Known(dict):
+    """Ids of the known features of a token; remembered, as most tokens come again."""
+
+    def __init__(self, index: dict[str, int], most: int) -> None:
+        self.index, self.most = index, most
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        got = self[token] = tuple(self.index[f] for f in features_of(token) if f in self.index)
+        return got
 
 
 class Features:
-    """(ids, counts) of known features in a text; what a token gives is remembered, as most tokens come again."""
+    """(ids, counts) of known features in a text."""
 
-    def __init__(self, index: dict[str, int], remembered: int = 60_000) -> None:
-        self.index, self.known, self.most = index, {}, remembered
+    def __init__(self, index: dict[str, int], remembered: int = 150_000) -> None:
+        self.known = _Known(index, remembered)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        ids: list[int] = []
-        for token in (text or "").lower().split():
-            got = self.known.get(token)
-            if got is None:
-                if len(self.known) >= self.most:
-                    self.known.clear()
-                got = self.known[token] = tuple(self.index[f] for f in features_of(token) if f in self.index)
-            ids += got
-        return np.unique(np.array(ids, np.int64), return_counts=True)
+        tokens = (text or "").lower().split()
+        return np.unique(np.fromiter(chain.from_iterable(map(self.known.__getitem__, tokens)), np.int64), return_counts=True)
 
 
 def unit(ids: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +169,7 @@ def relevance(toxic: Column, clean: Column, base: float, prior: float = 5.0, flo
     return F.greatest(F.lit(floor), F.pow(F.greatest(F.lit(0.0), lift), F.lit(power)))
 
 
-def fit(examples: DataFrame, index_rows: int = 1_200, rest_weight: float = 1.0, k: int = 25, least_calibration: int = 20) -> Model:
+def fit(examples: DataFrame, index_rows: int = 1_000, rest_weight: float = 1.0, k: int = 25, least_calibration: int = 20) -> Model:
     """examples: (key, text, label, part), bounded by the caller; part 0 calibrates. The driver gets the features of the index's examples and the examples as numbers."""
     from pyspark.sql import Window
 
