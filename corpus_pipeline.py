@@ -1,8 +1,14 @@
 """A training-data pipeline over ``documents``: each stage works on all that the one before kept.
 
-toxicity: documents scored as toxic go. near_dedup: of each group of SimHash near-duplicates the document with the smallest id stays.
-decontamination: documents contaminated with benchmark passages go. secrets: secrets in the texts are replaced by a mark. packing:
-what is left is packed into sequences; its rows are the pieces and their places.
+toxicity: documents scored as toxic go. near_dedup: of each group of SimHash near-duplicates one document stays, that with the smallest id. decontamination: documents
+contaminated with benchmark passages go. secrets: secrets in the texts are replaced by a mark. packing: what is left is packed into sequences; its rows are the
+pieces and their places.
+
+Rows are told apart by their place in the stage's input, not by their columns, so nothing is lost or dropped for sharing an id, or an id and a text, with another row.
+
+Defined results: null and empty texts are scored like any text without known words, share the fingerprint 0 and so leave one document between them, have no words, no secrets and one token;
+documents without an id take part in all stages and stay in a group of near-duplicates only if none of it has an id; ties (equal least ids, repeated rows) leave the row that comes first in the
+stage's input; unrelated texts under one id are kept each; very long texts are read whole; an empty table gives an empty table; columns other than those of ``documents`` are left out.
 """
 
 from __future__ import annotations
@@ -13,31 +19,36 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeforge.llm import decontaminate, packing, secrets, simhash, toxicity
-from cladeforge.llm.common import materialize, table, text_batches
+from cladeforge.llm.common import arrow_batches, materialize, table, with_rows
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    text_batches(spark)
-    model = toxicity.fit(materialize(toxicity.training_rows(docs, table(spark, sf_dir, "labels")), "examples"))
+    with arrow_batches(spark):
+        model = toxicity.fit(materialize(toxicity.training_rows(docs, table(spark, sf_dir, "labels")), "examples"))
     return toxicity.score_texts(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row whose id names its group stays; of repeated rows with that id, the first by text. Documents without an id stay."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    named = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
-    repeated = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("lang", "source"))))
-    return repeated.where("_n = 1").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """Of each class of near-duplicates the row with the smallest id stays, then the first one; only names of rows are compared and shuffled."""
+    rows = with_rows(docs.select(*COLUMNS))
+    found = materialize(simhash.classes(rows, carry=("row",)).select("component", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row").alias("own")), "classes")
+    first = found.groupBy("component").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "first")
+    gone = materialize(found.join(first, "component").where("own <> first").select("own.row"), "copies")
+    return without(rows, gone)
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows but for those in ``gone``, a written table: broadcast while it is small, else texts are shuffled once."""
+    return rows.join(decontaminate.sized(gone), "row", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.Decontaminator(docs, table(spark, sf_dir, "benchmark")).report()
-    bad = materialize(found.where(decontaminate.contaminated()).select("row").distinct(), "contaminated")
-    rows = docs.withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    return rows.join(bad, "row", "left_anti").select(*COLUMNS)
+    rows = with_rows(docs.select(*COLUMNS))
+    found = decontaminate.Decontaminator(rows, table(spark, sf_dir, "benchmark")).report()
+    bad = materialize(found.where(decontaminate.contaminated()).select("row"), "contaminated")
+    return without(rows, bad)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
