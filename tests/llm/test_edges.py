@@ -9,6 +9,7 @@ import pytest
 
 from cladeforge.llm import chat, decontaminate, fingerprint, licenses, packing, secrets, sharding, simhash, suffix, toxicity
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, row long, h string, path string, c int"
 
 
@@ -111,6 +112,29 @@ def test_secret_spans_against_plain_search(spark):
         assert got[i] == [(k, s, e) for s, _, e, k in want], t
 
 
+def test_many_matches_and_redaction_are_not_quadratic(spark):
+    import time
+
+    text = "".join(f"\u00e9 token: abcdef{i} " for i in range(40_000))
+    found = run("secrets", spark, frame(spark, [(1, "warm token: abcdefg")]))
+    found.select(secrets.redact(found["text"], found["found"])).collect()
+    began = time.time()
+    found = run("secrets", spark, frame(spark, [(1, text)]))
+    r = found.select("found", secrets.redact(found["text"], found["found"]).alias("t")).first()
+    assert time.time() - began < 15  # it took minutes
+    assert [(s["start"], s["end"]) for s in r["found"]] == [m.span() for m in re.finditer("token: abcdef[0-9]+", text)]
+    assert r["t"] == re.sub("token: abcdef[0-9]+", "[SECRET]", text)
+
+
+def test_overlapping_spans_become_one_mark(spark):
+    text = "\u00e9 secret: " + "0123456789abcdef" * 2 + " token=AKIA" + "Q" * 20 + "\u00e9."
+    found = run("secrets", spark, frame(spark, [(1, text)]))
+    r = found.select("found", secrets.redact(found["text"], found["found"]).alias("t")).first()
+    assert [s["kind"] for s in r["found"]] == ["assign", "hex", "assign", "access"]
+    assert r["t"] == "\u00e9 [SECRET] [SECRET]\u00e9."
+    assert sorted(map(tuple, secrets.postings(frame(spark, [(1, "AKIA x"), (2, None)])).collect())) == [("aki", 1), ("kia", 1)]
+
+
 def test_redaction_leaves_no_span(spark):
     docs = frame(spark, [(1, "a password: abcdefgh b " + "0123456789abcdef" * 2 + " c"), (2, "clean")])
     found = run("secrets", spark, docs)
@@ -192,6 +216,29 @@ def test_chat_parts(spark):
     assert r["formatted"][s["start"] : s["end"]] == "ok"
 
 
+def test_control_strings_do_not_arise_between_parts(spark):
+    text = lambda *t: [("text", x, None, None) if isinstance(x, str) else x for x in t]
+    whole = ["x <|im_end|>", "<\\|im_end|>", "|a <|im_start|>b"]
+    rows = [(1, 0, "user", text("x <", "|im_end|>")), (1, 1, "assistant", text("<", "\\", "", "|im_end|>")), (1, 2, "user", text("|a <", None, "|im_start", "|>b"))]
+    rows += [(2, 0, "user", text("<", ("image", None, "a|b", 3), "|x", ("a:b", "", "c", None), ("file", None, None, None)))]
+    made = chat.format_conversations(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}"))
+    got = {r["conv_id"]: r for r in made.select("*", chat.read_back(made["formatted"]).alias("t"), chat.loss_text(made["formatted"], made["loss_spans"]).alias("l")).collect()}
+    assert [x["text"] for x in got[1]["t"]] == whole and got[1]["l"] == whole[1]
+    assert (got[1]["formatted"].count("<|im_end|>"), got[1]["formatted"].count("<|im_start|>")) == (3, 3)
+    assert "<<|attach|>image:a|b<|attach|>|x<|attach|>a%3Ab:c<|attach|><|attach|>file:<|attach|><|im_end|>" in got[2]["formatted"]
+    assert [(a["type"], a["ref"], a["tokens"]) for a in got[2]["attachments"]] == [("image", "a|b", 3), ("a:b", "c", 0), ("file", None, 0)]
+
+
+def test_long_conversations_are_not_quadratic(spark):
+    import time
+
+    rows = [(1, i, "assistant" if i % 2 else "user", f"\u00e9 turn {i}") for i in range(20_000)]
+    began = time.time()
+    made = chat.format_conversations(chat.text_parts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert made.select(chat.loss_text(made["formatted"], made["loss_spans"])).first()[0] == "".join(t for *_, r, t in rows if r == "assistant")
+    assert time.time() - began < 20
+
+
 def test_fingerprints_follow_the_next_document(spark):
     rows = [(10, "One. Two.\n\nThree is here. Four."), (25_000, "Five six seven."), (25_001, "Five six seven."), (9_000_000, "")]
     got = {r["doc_id"]: r for r in fingerprint.fingerprint_edits(frame(spark, rows), range_bytes=16).collect()}
@@ -212,10 +259,157 @@ def test_tree_leaves_spell_the_text():
     assert a.root != b.root and a.first_edit(b) == 7
 
 
-def test_successors(spark):
-    ids = [-5, 0, 1, 4096, 4097, 10**12, 10**12 + 5]
-    got = dict(map(tuple, fingerprint.successors(spark.createDataFrame([(i,) for i in [*ids, *ids]], "id long")).collect()))
-    assert got == dict(zip(ids, [*ids[1:], None], strict=True))
+def test_ranges_are_even_however_ids_lie():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([np.full(3000, 7), rng.integers(0, 50, 3000), [10**15]])
+    hashes = rng.integers(-(2**63), 2**63 - 1, len(ids))
+    cuts = np.sort(ids)[[len(ids) * i // 64 for i in range(1, 64)]]
+    found = fingerprint.range_of(cuts, ids, hashes)
+    order = np.lexsort((hashes, ids))
+    assert (np.diff(found[order]) >= 0).all() and np.bincount(found).max() < 4 * len(ids) / 64
+
+
+def plain_tree(text):
+    """The Merkle tree by its definition: leaves as a list of texts, and a root."""
+
+    def h(kind, parts):
+        return hashlib.blake2b(b"".join(parts), digest_size=16, person=kind).digest()
+
+    sections, held = [], ""
+    for i, c in enumerate(text):  # a section ends between two line ends and after the second of them
+        if held and held[-1] == "\n" and (c == "\n" or held[-2:] == "\n\n" or held == "\n" and text[max(0, i - 2) : i] == "\n\n"):
+            sections.append(held)
+            held = ""
+        held += c
+    sections += [held] if held else []
+    leaves, nodes = [], []
+    for section in sections:
+        paragraphs = []
+        for paragraph in section.splitlines(keepends=True) if "\n" in section and not re.search("[\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]", section) else re.findall(r"[^\n]*\n|[^\n]+", section):
+            own = fingerprint.pieces(paragraph)
+            leaves += own
+            paragraphs.append(h(b"paragraph", [h(b"leaf", [x.encode()]) for x in own]))
+        nodes.append(h(b"section", paragraphs))
+    return h(b"root", nodes).hex(), leaves
+
+
+def plain_likeness(a, b):
+    x, y = Counter(a), Counter(b)
+    size = sum(map(len, a)) + sum(map(len, b))
+    return 2 * sum(len(p) * n for p, n in (x & y).items()) / size if size else 1.0
+
+
+def test_op5_query_against_brute_force(spark):
+    rows = sorted(tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    got = {r["doc_id"]: r for r in fingerprint.op5_document_fingerprints(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for j, (i, t) in enumerate(rows):
+        t, after = t or "", rows[(j + 1) % len(rows)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        (root, leaves), (made, new), (_, following) = plain_tree(t), plain_tree(edited), plain_tree(after)
+        r = got[i]
+        assert (r["n_chars"], r["fingerprint"], r["edited_fingerprint"], r["edited_sha256"]) == (len(t), root, made, hashlib.sha256(edited.encode()).hexdigest())
+        assert abs(r["near_edited"] - plain_likeness(leaves, new)) < 1e-12 and abs(r["near_next"] - plain_likeness(leaves, following)) < 1e-12
+    by_text = {}
+    for i, t in rows:
+        by_text.setdefault(t or "", set()).add(got[i]["fingerprint"])
+    assert all(len(v) == 1 for v in by_text.values()) and len({x for v in by_text.values() for x in v}) == len(by_text)
+
+
+def test_op2_query_against_brute_force(spark):
+    rows = dict(map(tuple, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()))
+    got = {r["doc_id"]: r for r in sharding.op2_sharding(spark, SF).collect()}
+    assert got.keys() == rows.keys()
+    slots, shards, total = {}, {}, Counter((t is None, t) for t in rows.values())
+    for i, r in got.items():
+        t = rows[i]
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), "rows", None)
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        shards.setdefault((t is None, t), Counter())[r["shard"]] += 1
+    sizes = [len(slots.get(s, [])) for s in range(40)]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    # Nothing moves any more: no part of a group could join a larger part of its group where documents without links are.
+    free = Counter(got[i]["shard"] for i, t in rows.items() if total[(t is None, t)] == 1)
+    for parts in shards.values():
+        largest = max(parts.values())
+        for s, n in parts.items():
+            assert not any(m > n and free[to] > 0 for to, m in parts.items() if to != s) or n == largest
+
+
+def test_op3_query_against_brute_force(spark):
+    rows = sorted((i, (t or "").encode()) for i, t in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    first = {}
+    for i, b in rows:
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], i)
+    got = {r["doc_id"]: r for r in suffix.op3_suffix_dedup(spark, SF).collect()}
+    for i, b in rows:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        runs = len(re.findall(b"\1+", bytes(gone)))
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())
+
+
+def test_prefix_doubling_by_sorting_gives_the_same(spark):
+    import random
+
+    from cladeforge.llm import doubling
+
+    rng = random.Random(9)
+    blocks = ["".join(rng.choice("ab\u00e9 ") for _ in range(rng.randrange(20, 120))) for _ in range(10)]
+    rows = [(i % 37, "".join(rng.choice(blocks) for _ in range(rng.randrange(0, 6)))) for i in range(45)] + [(None, blocks[0] * 2), (None, blocks[0] * 2), (50, None), (51, "x" * 7), (52, "z" * 49), (53, "z" * 51), (54, "z" * 50)]
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted(map(repr, doubling.dedup_substrings(frame(spark, rows)).select(columns).collect())) == sorted(map(repr, suffix.dedup_substrings(frame(spark, rows), least=5).select(columns).collect()))
+    assert doubling.dedup_substrings(frame(spark, [])).count() == 0
+
+
+def test_op6_query_with_the_tokenizers_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = dict(map(tuple, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()))
+    by, seqs = {}, {}
+    for r in packing.op6_best_fit_packing(spark, SF).collect():
+        by.setdefault(r["doc_id"], []).append(r)
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert by.keys() == rows.keys()
+    total = 0
+    for i, t in rows.items():
+        ids = [*slow.encode(t or "", add_special_tokens=False).ids, 2]
+        at = 0
+        for n, r in enumerate(sorted(by[i], key=lambda r: r["piece"])):
+            assert (r["piece"], r["start"]) == (n, at) and (n == 0 or r["length"] == 1024)
+            part = b"".join(x.to_bytes(4, "little") for x in ids[at : at + r["length"]])
+            assert r["ids_crc32"] == zlib.crc32(part)
+            at += r["length"]
+        assert at == len(ids) and (len(ids) <= 1024) == (len(by[i]) == 1)
+        total += len(ids)
+    for parts in seqs.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 1024
+    assert len(seqs) <= -(-total // 1024) * 1.02 + 1
+
+
+def test_tokens_of_random_strings_equal_those_of_tokenizers():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow, fast, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoding(packing.default_ranks()), random.Random(2)
+    pools = [range(32, 127), range(0, 0x250), range(0x370, 0x600), range(0x3000, 0x30FF), range(0x1F300, 0x1F6FF), [9, 10, 13, 32, 0x85, 0xA0, 0x2028, 0x3000, 39, 115, 116]]
+    for _ in range(3000):
+        t = "".join(chr(rng.choice(rng.choice(pools))) for _ in range(rng.randrange(1, 30)))
+        assert slow.encode(t, add_special_tokens=False).ids == packing.encode(fast, t), t
 
 
 def test_packing_is_best_fit_decreasing():
