@@ -252,9 +252,8 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     with arrow_batches(spark):
-        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
         model = fit(materialize(training_rows(docs, table(spark, sf_dir, "labels")), "examples"))
-    scored = score_texts(docs, model)
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
-    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", "evidence")
+        return materialize(score_texts(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "evidence"), "scores")
