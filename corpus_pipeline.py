@@ -25,9 +25,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = with_rows(docs.select(*COLUMNS))
     with arrow_batches(spark):
         model = toxicity.fit(materialize(toxicity.training_rows(docs, table(spark, sf_dir, "labels")), "examples"))
-    return toxicity.score_texts(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
+        toxic = materialize(toxicity.score_texts(rows.select("row", "text"), model).where("predicted = 1").select("row"), "toxic")
+    return without(rows, toxic)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
