@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeforge.operators import build, classify, drawing, phylogeny, results, taxonomy, tree
+from cladeforge.operators import analytics, build, classify, drawing, phylo, phylogeny, results, taxonomy, tree
 from cladeforge.sources import reports, sequences
 from cladeforge.sources.config import Config, DatabaseFolders, ResultFolders
 
@@ -26,6 +26,12 @@ class Database:
         self.save()
         return self
 
+    def check(self) -> Database:
+        """Raises if the folder is no database."""
+        if lost := self.folders.missing():
+            raise ValueError(f"no database at {self.folders.root}: {', '.join(lost)} is missing")
+        return self
+
     def save(self) -> None:
         self.config.save(self.folders.config)
 
@@ -51,14 +57,46 @@ class Database:
     def genomes(self, group: str | None = None) -> DataFrame:
         return sequences.genomes(self.spark, self.config.group_get(group)[2] if group else self.config.paths())
 
-    def make_tree(self, group: str | None = None, scaled: int | None = None) -> str:
-        """Sketch, distances, neighbour joining; the file is written and set as the phylogeny. A file that is there is kept."""
+    def _stage(self, kind: str, group: str | None, scaled: int | None, bottom: bool) -> tuple[str, int, int]:
+        """(folder of a stage, k, sketch size); stages of other parameters lie beside each other."""
         k, s, _ = self.config.group_get(group or "default")
         if k is None or (scaled or s) is None:
             raise ValueError("k and a sketch size must be set")
+        return f"{self.folders.phylogeny}/{kind}/{group or 'default'}.k{k}.s{scaled or s}.{'bottom' if bottom else 'scaled'}", k, scaled or s
+
+    def sketch(self, group: str | None = None, scaled: int | None = None, bottom: bool = False) -> DataFrame:
+        """Sketches of all genomes, scaled or bottom ones. Those that are stored already are not made again."""
+        path, k, s = self._stage("sketch", group, scaled, bottom)
+        genomes = self.genomes(group)
+        if not os.path.exists(path):
+            phylogeny.save_sketches((phylogeny.sketch_bottom if bottom else phylogeny.sketch_scaled)(genomes, k, s, "name"), path)
+        elif not bottom:
+            missing = genomes.join(phylogeny.load_sketches(self.spark, path).select("name").distinct(), "name", "left_anti")
+            if not missing.isEmpty():
+                phylogeny.sketch_scaled(missing, k, s, "name").write.mode("append").parquet(path)
+        return phylogeny.load_sketches(self.spark, path)
+
+    def distance(self, group: str | None = None, scaled: int | None = None, bottom: bool = False) -> DataFrame:
+        """Distances of all pairs of sketches, with the matrix as a text file beside them. What is there is kept."""
+        path, k, s = self._stage("distance", group, scaled, bottom)
+        if not os.path.exists(path):
+            sketch = self.sketch(group, scaled, bottom)
+            (phylogeny.pairs_bottom(sketch, k, s, "name") if bottom else phylogeny.pairs(sketch, k, "name")).write.parquet(path)
+            known = self.genomes(group).select("name").distinct()
+            reports.write_phylip(phylogeny.phylip(self.spark.read.parquet(path), known, "name"), known.count(), path + ".tab")
+        return self.spark.read.parquet(path)
+
+    def neighbour_joining(self, group: str | None = None, scaled: int | None = None, bottom: bool = False) -> str:
+        found = self.distance(group, scaled, bottom)
+        known = [r[0] for r in self.genomes(group).select("name").distinct().orderBy("name").collect()]
+        labels = [f"ref{n}" if str(n).isdigit() else str(n) for n in known]  # numbers name branches
+        return tree.write_newick(phylogeny.neighbour_joining(phylogeny.matrix_of(found, known), labels))
+
+    def make_tree(self, group: str | None = None, scaled: int | None = None, bottom: bool = False) -> str:
+        """Sketch, distances, neighbour joining, each skipped where its result is there; the tree is written and set as the phylogeny."""
         path = f"{self.folders.phylogeny}/{group or 'tree'}.nwk"
         if not os.path.exists(path):
-            Path(path).write_text(phylogeny.build_tree(self.genomes(group), k, scaled or s, "name") + "\n")
+            Path(path).write_text(self.neighbour_joining(group, scaled, bottom) + "\n")
         if group:
             self.config.group_set(group, phylogeny_path=path)
         else:
@@ -135,14 +173,29 @@ class Database:
         self.cutoff(out, cpm, keep_zeros)
         return folders
 
+    def cutoff_matrices(self, classified: str, split: str, out: str, cpm: float) -> None:
+        """Summaries of two matrices that came from elsewhere, with another cutoff. They must have the same samples."""
+        nodes = self.spark.read.parquet(self.folders.nodes)
+        results.checked(*(self.spark.read.option("header", True).csv(p) for p in (classified, split)))
+        sl, ml = (reports.read_matrix(self.spark, p, v, nodes) for p, v in ((classified, "sl"), (split, "ml")))
+        both = results.add_frames(sl.withColumn("ml", F.lit(0).cast("bigint")), ml.withColumn("sl", F.lit(0).cast("bigint")), ["sample", "node"], ["sl", "ml"])
+        reports.write_csv(reports.labelled(results.summarise(both, nodes, cpm), nodes), ResultFolders(out).of("phy", "summary"))
+
+    def memory(self, log: str, out: str) -> DataFrame:
+        """Memory by job and moment of a log of lines pid<tab>job<tab>message."""
+        lines = self.spark.read.option("sep", "\t").schema("pid string, job string, line string").csv(log)
+        found = analytics.job_memory(analytics.read_log(lines))
+        reports.write_csv(found.orderBy("job"), out, one_file=True)
+        return found
+
     def cutoff(self, out: str, cpm: float, keep_zeros: bool = False) -> None:
         """Summaries and matrices again from saved counts, with another cutoff."""
         folders, nodes = ResultFolders(out), self.spark.read.parquet(self.folders.nodes)
         counted = self.spark.read.parquet(folders.of("phy", "counts"))
         reports.write_csv(reports.labelled(results.summarise(counted, nodes, cpm), nodes), folders.of("phy", "summary"))
         samples = sorted(r["sample"] for r in counted.select("sample").distinct().collect())
-        reports.write_matrix(counted, "sl", samples, folders.of("phy", "classified"), keep_zeros)
-        reports.write_matrix(counted, "ml", samples, folders.of("phy", "split"), keep_zeros)
+        reports.write_matrix(counted, "sl", samples, folders.of("phy", "classified"), keep_zeros, nodes)
+        reports.write_matrix(counted, "ml", samples, folders.of("phy", "split"), keep_zeros, nodes)
 
     def to_taxonomy(self, out: str, dump: DataFrame, leaf_taxids: DataFrame) -> DataFrame:
         """Counts by taxid, rolled up, with rank and name. dump: taxid, parent, rank, name; leaf_taxids: name, taxid."""
@@ -159,12 +212,16 @@ class Database:
         reports.write_csv(rolled, folders.of("tax", "summary"))
         return rolled
 
-    def draw(self, out: str, sample_colours: dict[str, str], log: bool = False, cpm: float = 0.0) -> None:
-        """A tree-colour table of all counts."""
+    def draw(self, out: str, sample_colours: dict[str, str], log: bool = False, cpm: float = 0.0, groups: list[tuple[str, str]] | None = None) -> None:
+        """Tree-colour tables of the classified, the split and all counts, each rolled up the tree, and cut off by its own sums. groups: (sample, group), drawn as one sample."""
         folders, nodes = ResultFolders(out), self.spark.read.parquet(self.folders.nodes)
-        counted = self.spark.read.parquet(folders.of("phy", "counts")).where("node > 0").select("sample", "node", (F.col("sl") + F.col("ml")).alias("cnt"))
-        coloured = reports.labelled(drawing.colour_table(counted, sample_colours, log, cpm), nodes)
-        reports.write_drawing(coloured.select("label", "colour"), f"{out}/phy/drawing")
+        counted = self.spark.read.parquet(folders.of("phy", "counts")).where("node > 0")
+        if groups:
+            counted = results.group_samples(counted, self.spark.createDataFrame(groups, "sample string, group string"))
+        rolled = phylo.roll_up(counted, nodes, ["sample"], ["sl", "ml"])
+        for name, value in (("drawing_classified", F.col("sl")), ("drawing_splits", F.col("ml")), ("drawing", F.col("sl") + F.col("ml"))):
+            coloured = reports.labelled(drawing.colour_table(rolled.select("sample", "node", value.alias("cnt")), sample_colours, log, cpm), nodes)
+            reports.write_drawing(coloured.select("label", "colour"), f"{out}/phy/{name}")
 
 
 def _by_code(reads: DataFrame, table: DataFrame, k: int) -> DataFrame:

@@ -65,10 +65,19 @@ def at_offsets(seq: Column, offsets: Column, k: int) -> Column:
     return F.transform(offsets, lambda p: F.substring(seq, p + 1, F.lit(k)))
 
 
+def stretches(df: DataFrame, keys: list[str], k: int, seq: str = "seq", stretch: int = 1 << 16) -> DataFrame:
+    """keys, _at, _seq: pieces of ``stretch`` windows that overlap by k - 1, so that no row or array holds the windows of a whole chromosome. Short sequences stay one piece."""
+    cuts = F.sequence(F.lit(0), F.greatest(F.coalesce(F.length(seq), F.lit(0)) - k, F.lit(0)), F.lit(stretch))
+    part = df.select(*keys, F.col(seq).alias("_whole"), F.explode(cuts).alias("_at"))
+    return part.select(*keys, "_at", F.when(F.length("_whole") <= stretch, F.col("_whole")).otherwise(F.substring("_whole", F.col("_at") + 1, F.lit(stretch + k - 1))).alias("_seq"))
+
+
 def explode_windows(df: DataFrame, keys: list[str], k: int, seq: str = "seq", outer: bool = False) -> DataFrame:
-    """keys, ordinal (of valid windows), kmer (canonical). outer: a row without valid windows stays, with nulls."""
-    explode = F.posexplode_outer if outer else F.posexplode
-    return df.select(*keys, explode(windows(seq, k)).alias("ordinal", "word")).select(*keys, "ordinal", canonical("word").alias("kmer"))
+    """keys, ordinal (rising over valid windows), kmer (canonical). outer: a row without valid windows stays, with nulls; it is meant for reads, which are not cut."""
+    if outer:
+        return df.select(*keys, F.posexplode_outer(windows(seq, k)).alias("ordinal", "word")).select(*keys, "ordinal", canonical("word").alias("kmer"))
+    found = stretches(df, keys, check_k(k), seq).select(*keys, "_at", F.posexplode(windows("_seq", k)).alias("_i", "word"))
+    return found.select(*keys, (F.col("_at") + F.col("_i")).alias("ordinal"), canonical("word").alias("kmer"))
 
 
 def explode_offsets(df: DataFrame, keys: list[str], k: int, seq: str = "seq", stretch: int = 4096) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeforge.functions import kmers, names
@@ -15,11 +15,43 @@ def node_histogram(raw: DataFrame) -> DataFrame:
 
 
 def weighted_percentiles(df: DataFrame, value: str, weight: str, quantiles: list[float]) -> DataFrame:
-    """(q, value): the least value at which the weight up to it reaches the share q. Equal values are one row first."""
-    sums = df.groupBy(value).agg(F.sum(weight).alias("w"))
-    up = sums.withColumn("upto", F.sum("w").over(Window.orderBy(value))).withColumn("total", F.sum("w").over(Window.partitionBy()))
-    wanted = F.explode(F.array(*[F.lit(q) for q in quantiles])).alias("q")
-    return up.select(value, "upto", "total", wanted).where(F.col("upto") >= F.col("q") * F.col("total")).groupBy("q").agg(F.min(value).alias("value"))
+    """(q, value): a value stands at the middle of its weight in the running sum, as a share of all; between two values it is interpolated, outside it is the least or greatest one.
+
+    Equal values are one row first. The sum runs in ranges of values that are cut at quantiles, so no task has all of them."""
+    sums = df.groupBy(F.col(value).cast("double").alias("x")).agg(F.sum(weight).cast("double").alias("w"))
+    cuts = sums.agg(F.percentile_approx("x", [i / 64 for i in range(1, 64)], 1000).alias("c")).first()["c"] or []
+    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>"), lambda c: c <= F.col("x")))
+    placed = sums.withColumn("part", part)
+    per = placed.groupBy("part").agg(F.sum("w").alias("pw"))  # 64 rows at most
+    before = per.select("part", (F.sum("pw").over(Window.orderBy("part")) - F.col("pw")).alias("base"), F.sum("pw").over(Window.partitionBy()).alias("total"))
+    inside = F.sum("w").over(Window.partitionBy("part").orderBy("x"))
+    at = placed.join(before, "part").withColumn("at", (F.col("base") + inside - F.col("w") / 2) / F.col("total"))
+    rows = at.select("x", "at", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("q"))
+    ends = rows.groupBy("q").agg(
+        F.max(F.when(F.col("at") <= F.col("q"), F.struct("at", "x"))).alias("lo"), F.min(F.when(F.col("at") >= F.col("q"), F.struct("at", "x"))).alias("hi")
+    )
+    lo, hi = F.col("lo"), F.col("hi")
+    between = lo["x"] + (hi["x"] - lo["x"]) * (F.col("q") - lo["at"]) / F.nullif(hi["at"] - lo["at"], F.lit(0.0))
+    return ends.select("q", F.coalesce(between, lo["x"], hi["x"]).alias("value"))
+
+
+def bin_count(df: DataFrame, value: str, weight: str) -> DataFrame:
+    """(width, bins): bins as wide as the weighted interquartile range over the cube root of the number of values, and how many of them span the values."""
+    q = weighted_percentiles(df, value, weight, [0.25, 0.75]).agg(F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q25"), F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("q75"))
+    own = df.agg(F.count_distinct(F.col(value)).alias("n"), F.max(value).cast("double").alias("hi"), F.min(value).cast("double").alias("lo"))
+    width = (F.col("q75") - F.col("q25")) / F.cbrt("n")
+    return q.join(own).select(width.alias("width"), F.bround((F.col("hi") - F.col("lo")) / F.nullif(width, F.lit(0.0))).cast("long").alias("bins"))  # one row each
+
+
+def save_histograms(found: DataFrame, path: str) -> None:
+    """Two folders of lines node,count in order of nodes: classified reads and split ones, as :func:`node_histogram` has them."""
+    for name, flag in (("c_counts", True), ("s_counts", False)):
+        found.where(F.col("classified") == flag).select("node", "cnt").orderBy("node").coalesce(1).write.mode("overwrite").csv(f"{path}/{name}")
+
+
+def load_histograms(spark: SparkSession, path: str) -> DataFrame:
+    read = lambda name, flag: spark.read.schema("node int, cnt bigint").csv(f"{path}/{name}").select(F.lit(flag).alias("classified"), "node", "cnt")
+    return read("c_counts", True).unionByName(read("s_counts", False))
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:

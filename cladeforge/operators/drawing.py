@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeforge.functions import colours
-from cladeforge.operators import results
+from cladeforge.operators import phylo, results
 
 
 def colour_table(counts: DataFrame, sample_colours: dict[str, str], log: bool = False, cpm: float = 0.0) -> DataFrame:
@@ -17,5 +17,5 @@ def colour_table(counts: DataFrame, sample_colours: dict[str, str], log: bool =
     scored = kept.where("cnt > 0").join(known, "sample")
     ends = scored.groupBy("sample").agg(F.max("cnt").cast("double").alias("most"), F.min("cnt").cast("double").alias("least"))
     q = colours.opacity(F.col("cnt").cast("double"), F.col("least"), F.col("most"), log)
-    parts = scored.join(F.broadcast(ends), "sample").select("node", F.struct("place", "colour", q.alias("q")).alias("p"))  # a row a sample
+    parts = scored.join(phylo.sized(ends), "sample").select("node", F.struct("place", "colour", q.alias("q")).alias("p"))  # a row a sample
     return parts.groupBy("node").agg(colours.blend(F.sort_array(F.collect_list("p"))).alias("colour"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeforge.operators import cuts
+
 #: A table is broadcast up to this size, which the plan's statistics tell without a job; above, joins shuffle (and may still turn out small at run time).
 BROADCAST_BYTES = 32 << 20
 
@@ -24,17 +26,10 @@ def closure(nodes: DataFrame) -> DataFrame:
     return up.select(F.col("_a.id").alias("ancestor"), "descendant", (F.col("_n") - 1 - F.col("_i")).alias("dist"))
 
 
-def with_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Adds path from node_id, parent and subtree_end, one join a level."""
-    done = nodes.where("parent is null").withColumn("path", F.array(F.struct(F.col("node_id").alias("id"), F.col("subtree_end").alias("end"))))
-    level, out = done, done
-    for _ in range(max_depth):
-        above = level.select(F.col("node_id").alias("parent"), F.col("path").alias("_up"))
-        level = nodes.join(above, "parent").withColumn("path", F.concat("_up", F.array(F.struct(F.col("node_id").alias("id"), F.col("subtree_end").alias("end"))))).drop("_up").select(*done.columns)
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def with_paths(nodes: DataFrame) -> DataFrame:
+    """Adds path from node_id, parent and subtree_end, for trees of any depth."""
+    item = F.struct(F.col("node_id").alias("id"), F.col("subtree_end").alias("end"))
+    return nodes.join(cuts.chains(nodes, "node_id", "parent", item, "path"), "node_id").select(*nodes.columns, "path")
 
 
 def lca_of_range(path: Column | str, high: Column | str) -> Column:

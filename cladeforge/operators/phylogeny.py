@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeforge.functions import kmers
@@ -28,6 +28,14 @@ def sketch_bottom(genomes: DataFrame, k: int, s: int, name: str = "node_id") ->
     return ranked.where(F.col("_r") <= s).drop("_r")
 
 
+def save_sketches(sketch: DataFrame, path: str) -> None:
+    sketch.write.mode("overwrite").parquet(path)
+
+
+def load_sketches(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def add_sketches(old: DataFrame, genomes: DataFrame, k: int, scaled: int, name: str = "node_id") -> DataFrame:
     """Only genomes that are not sketched yet are read."""
     missing = genomes.join(old.select(name).distinct(), name, "left_anti")
@@ -44,6 +52,20 @@ def pairs(sketch: DataFrame, k: int, name: str = "node_id") -> DataFrame:
     return both.withColumn("jaccard", j).withColumn("distance", mash_distance(F.col("jaccard"), k)).select("a", "b", "shared", "jaccard", "distance")
 
 
+def pairs_bottom(sketch: DataFrame, k: int, s: int, name: str = "node_id") -> DataFrame:
+    """Like :func:`pairs` for bottom sketches: of the ``s`` least hashes of both sketches together, the share that both have.
+
+    A shared hash is in the union at the sum of its places in both sketches less the shared ones up to it."""
+    ranked = sketch.withColumn("_r", F.row_number().over(Window.partitionBy(name).orderBy("hash")))
+    sizes = sketch.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    left, right = ranked.select("hash", F.col(name).alias("a"), F.col("_r").alias("ra")), ranked.select("hash", F.col(name).alias("b"), F.col("_r").alias("rb"))
+    met = left.join(right, "hash").where("a < b").withColumn("upto", F.row_number().over(Window.partitionBy("a", "b").orderBy("hash")))
+    found = met.groupBy("a", "b").agg(F.sum((F.col("ra") + F.col("rb") - F.col("upto") <= s).cast("int")).alias("shared"), F.count(F.lit(1)).alias("every"))
+    both = found.join(sizes.select(F.col(name).alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col(name).alias("b"), F.col("n").alias("nb")), "b")
+    j = F.col("shared") / F.least(F.lit(s), F.col("na") + F.col("nb") - F.col("every"))
+    return both.withColumn("jaccard", j).withColumn("distance", mash_distance(F.col("jaccard"), k)).select("a", "b", "shared", "jaccard", "distance")
+
+
 def mash_distance(j: Column, k: int) -> Column:
     """-1/k * ln(2j / (1 + j)); 1 without overlap, 0 for equal sketches."""
     return F.when(j <= 0, 1.0).when(j >= 1, 0.0).otherwise(F.least(F.lit(1.0), F.ln(2 * j / (1 + j)) * (-1.0 / k)))

@@ -36,12 +36,18 @@ def summarise(found: DataFrame, nodes: DataFrame, cpm: float = 100.0) -> DataFra
     sums = own.select("sample", "node", F.col("c_count").alias("c_cumul"), F.col("s_count").alias("s_cumul"), F.col("t_count").alias("t_cumul"))
     rolled = phylo.roll_up(sums, nodes, ["sample"], ["c_cumul", "s_cumul", "t_cumul"])
     totals = own.groupBy("sample").agg(F.sum("t_count").alias("total"))
-    rows = rolled.join(own, ["sample", "node"], "left").na.fill(0, ["c_count", "s_count", "t_count"]).join(F.broadcast(totals), "sample")
+    rows = rolled.join(own, ["sample", "node"], "left").na.fill(0, ["c_count", "s_count", "t_count"]).join(phylo.sized(totals), "sample")
     rows = rows.withColumn("t_cumul", F.when(F.col("t_cumul") < least_count(F.col("total"), cpm), 0).otherwise(F.col("t_cumul"))).where("t_cumul > 0")
     columns = [c for x in "cst" for c in (percent(F.col(f"{x}_cumul"), F.col("total")).alias(f"{x}_perc"), F.col(f"{x}_cumul"), F.col(f"{x}_count"))]
     return rows.select("sample", "node", *columns)
 
 
+def checked(sl: DataFrame, ml: DataFrame) -> None:
+    """Two matrices belong together if they have the same samples in the same order."""
+    if sl.columns != ml.columns:
+        raise ValueError(f"the matrices have other samples: {sl.columns} and {ml.columns}")
+
+
 def drop_zero_nodes(found: DataFrame) -> DataFrame:
     """Nodes that are 0 in all samples of either count go, but for unclassified (0)."""
     live = found.groupBy("node").agg(F.max(F.col("sl") + F.col("ml")).alias("m")).where("m > 0 or node = 0")
@@ -68,7 +74,7 @@ def group_samples(found: DataFrame, groups: DataFrame) -> DataFrame:
     """groups: (sample, group). The group's sum under its first member's name; samples without a group keep theirs."""
     first = groups.groupBy("group").agg(F.min("sample").alias("name"))
     names = groups.join(first, "group").select("sample", "name")
-    return found.join(F.broadcast(names), "sample", "left").groupBy(F.coalesce("name", "sample").alias("sample"), "node").agg(F.sum("sl").alias("sl"), F.sum("ml").alias("ml"))
+    return found.join(phylo.sized(names), "sample", "left").groupBy(F.coalesce("name", "sample").alias("sample"), "node").agg(F.sum("sl").alias("sl"), F.sum("ml").alias("ml"))
 
 
 def add_frames(large: DataFrame, small: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

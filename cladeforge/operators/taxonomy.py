@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeforge.operators import phylo
+from cladeforge.operators import cuts, phylo
 
 # Rank names in order, from the root down.
 RANKS = (
@@ -17,16 +15,9 @@ RANKS = (
 )
 
 
-def lineages(taxonomy: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(taxid, lineage from the root down). taxonomy: taxid, parent (null or itself at a root). One join a level, of new rows only."""
-    up = taxonomy.select("taxid", F.when(F.col("parent") == F.col("taxid"), None).otherwise(F.col("parent")).alias("parent"))
-    level = out = up.where("parent is null").select("taxid", F.array("taxid").alias("lineage"))
-    for _ in range(max_depth):
-        level = up.join(level.select(F.col("taxid").alias("parent"), "lineage"), "parent").select("taxid", F.concat("lineage", F.array("taxid")).alias("lineage"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+def lineages(taxonomy: DataFrame) -> DataFrame:
+    """(taxid, lineage from the root down). taxonomy: taxid, parent (null or itself at a root). Taxa on a cycle or below an unknown parent have no root and no lineage."""
+    return cuts.chains(taxonomy, "taxid", "parent", F.col("taxid"), "lineage")
 
 
 def common_prefixes(nodes: DataFrame, leaf_lineages: DataFrame) -> DataFrame:
@@ -117,10 +108,5 @@ def clade_table(clade_taxid: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 
 def changed_lineages(table: DataFrame, order: list[str]) -> DataFrame:
-    """Rows whose lineage differs from the row before, in order."""
-    here = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order])
-    return table.withColumn("_h", here).withColumn("_p", F.lag("_h").over(Window.orderBy(*order))).where("_p is null or _p <> _h").drop("_h", "_p")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    """The first row of each lineage, told by the columns in ``order``: what is left if rows whose lineage is that of the row before go. No row order is needed."""
+    return table.dropDuplicates(order)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeforge.functions import colours, kmers, names
-from cladeforge.operators import analytics, build, classify, drawing, phylo, phylogeny, results, taxonomy
+from cladeforge.operators import analytics, build, classify, cuts, drawing, phylo, phylogeny, results, taxonomy, tree
 from cladeforge.plans import fixtures as fx
 from cladeforge.plans.fixtures import K, load, sql
+from cladeforge.sources import reports, sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,7 +46,7 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaf_lineages(spark: SparkSession, d: str) -> DataFrame:
-    lines = taxonomy.lineages(fx.taxonomy(spark, d), 3)
+    lines = taxonomy.lineages(fx.taxonomy(spark, d))
     return fx.nodes(spark, d).where("type = 'Leaf'").select(F.col("node_id").alias("leaf"), (F.col("node_id") + 1000).cast("string").alias("taxid")).join(lines, "taxid").select("leaf", "lineage")
 
 
@@ -358,7 +360,7 @@ def counts_on_all_nodes(spark, d):
 
 @query(sql("SELECT taxid, CASE WHEN parent IS NULL THEN taxid WHEN parent = '1' THEN '1;' || taxid ELSE '1;' || parent || ';' || taxid END AS lineage FROM fx_taxonomy"))
 def tax_lineage(spark, d):
-    return taxonomy.lineages(fx.taxonomy(spark, d), 3).select("taxid", F.array_join("lineage", ";").alias("lineage"))
+    return taxonomy.lineages(fx.taxonomy(spark, d)).select("taxid", F.array_join("lineage", ";").alias("lineage"))
 
 
 @query(sql("SELECT node_id AS node, taxid FROM fx_taxonomy"))
@@ -378,7 +380,7 @@ def tax_gather(spark, d):
   SELECT sample, taxid, sl, ml FROM bt UNION ALL SELECT b.sample, '1', sl, ml FROM bt b WHERE taxid NOT IN ('1', 'unclassified')
   UNION ALL SELECT b.sample, t.parent, sl, ml FROM bt b JOIN fx_taxonomy t USING (taxid) WHERE t.parent <> '1') GROUP BY ALL""", vote="0.1"))
 def tax_rollup(spark, d):
-    return taxonomy.roll_up(taxonomy.by_taxid(_counts(spark, d), _clade_taxids(spark, d)), taxonomy.lineages(fx.taxonomy(spark, d), 3))
+    return taxonomy.roll_up(taxonomy.by_taxid(_counts(spark, d), _clade_taxids(spark, d)), taxonomy.lineages(fx.taxonomy(spark, d)))
 
 
 @query(sql("SELECT sample, code, read_id, CASE WHEN code = 'U' THEN 'NA' ELSE taxid END AS taxid, CAST(length AS INTEGER) AS length FROM vote LEFT JOIN fx_taxonomy t ON t.node_id = node", vote="0.1"))
@@ -390,19 +392,19 @@ def tax_raw_convert(spark, d):
 @query(sql("SELECT taxid, '1' AS \"no rank\", CASE rank WHEN 'superkingdom' THEN taxid WHEN 'species' THEN parent END AS superkingdom, CASE rank WHEN 'species' THEN taxid END AS species FROM fx_taxonomy"))
 def tax_rank_pivot(spark, d):
     t = fx.taxonomy(spark, d)
-    return taxonomy.rank_table(taxonomy.lineages(t, 3), t, ["no rank", "superkingdom", "species"])
+    return taxonomy.rank_table(taxonomy.lineages(t), t, ["no rank", "superkingdom", "species"])
 
 
 @query(sql("SELECT taxid, CASE rank WHEN 'superkingdom' THEN taxid WHEN 'species' THEN parent END AS ancestor FROM fx_taxonomy"))
 def assign_at_rank(spark, d):
     t = fx.taxonomy(spark, d)
-    return taxonomy.at_rank(taxonomy.lineages(t, 3), t, "superkingdom")
+    return taxonomy.at_rank(taxonomy.lineages(t), t, "superkingdom")
 
 
 @query(sql("WITH r AS (SELECT taxid, CASE rank WHEN 'superkingdom' THEN taxid WHEN 'species' THEN CASE WHEN node_id % 2 = 0 THEN parent END END AS superkingdom, CASE rank WHEN 'species' THEN taxid END AS species FROM fx_taxonomy) SELECT taxid, coalesce(superkingdom, species) AS superkingdom, species FROM r"))
 def propagate_ranks(spark, d):
     t = fx.taxonomy(spark, d)
-    table = taxonomy.rank_table(taxonomy.lineages(t, 3), t, ["superkingdom", "species"])
+    table = taxonomy.rank_table(taxonomy.lineages(t), t, ["superkingdom", "species"])
     gap = F.col("species").isNotNull() & (F.col("species").cast("int") % 2 == 1)
     return taxonomy.fill_up(table.withColumn("superkingdom", F.when(~gap | F.col("species").isNull(), F.col("superkingdom"))), ["superkingdom", "species"])
 
@@ -410,17 +412,17 @@ def propagate_ranks(spark, d):
 @query(sql("SELECT t.taxid, coalesce(k.taxid, t.parent) AS nearest FROM fx_taxonomy t LEFT JOIN fx_taxonomy k ON k.taxid = t.taxid AND k.rank <> 'species'"))
 def nearest_known_taxid(spark, d):
     t = fx.taxonomy(spark, d)
-    return taxonomy.nearest_known(taxonomy.lineages(t, 3), t.where("rank <> 'species'"))
+    return taxonomy.nearest_known(taxonomy.lineages(t), t.where("rank <> 'species'"))
 
 
 @query(sql("SELECT parent, taxid AS child FROM fx_taxonomy WHERE parent IS NOT NULL"))
 def tax_edges(spark, d):
-    return taxonomy.edges(taxonomy.lineages(fx.taxonomy(spark, d), 3))
+    return taxonomy.edges(taxonomy.lineages(fx.taxonomy(spark, d)))
 
 
 @query(sql("SELECT taxid, CASE rank WHEN 'no rank' THEN 0 WHEN 'superkingdom' THEN 1 ELSE 2 END AS depth FROM fx_taxonomy"))
 def tax_pool(spark, d):
-    return taxonomy.pool(taxonomy.lineages(fx.taxonomy(spark, d), 3))
+    return taxonomy.pool(taxonomy.lineages(fx.taxonomy(spark, d)))
 
 
 @query(sql("SELECT node_id AS clade, taxid, name AS taxa, rank FROM fx_taxonomy"))
@@ -456,6 +458,19 @@ def minhash_bottom_s(spark, d):
     return phylogeny.sketch_bottom(fx.genomes(spark, d), K, 50)
 
 
+_BOTTOM = f"""WITH all_h AS (SELECT DISTINCT node_id, {_HASH} AS hash FROM gk),
+bs AS (SELECT * FROM all_h QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY hash) <= 50),
+u AS (SELECT x.node_id AS a, y.node_id AS b, h.hash, count(*) AS n FROM (SELECT DISTINCT node_id FROM bs) x JOIN (SELECT DISTINCT node_id FROM bs) y ON x.node_id < y.node_id JOIN bs h ON h.node_id IN (x.node_id, y.node_id) GROUP BY ALL),
+l AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY hash) <= 50)
+"""
+
+
+@query(sql(_BOTTOM + "SELECT a, b, CAST(sum(n - 1) AS BIGINT) AS shared, round(sum(n - 1) / count(*), 9) AS jaccard FROM l GROUP BY a, b HAVING (SELECT count(*) FROM u WHERE u.a = l.a AND u.b = l.b AND u.n = 2) > 0", kmers=True))
+def mash_bottom_pairs(spark, d):
+    """The Jaccard index of bottom sketches: over the 50 least hashes of both together."""
+    return phylogeny.pairs_bottom(phylogeny.sketch_bottom(fx.genomes(spark, d), K, 50), K, 50).select("a", "b", "shared", F.round("jaccard", 9).alias("jaccard"))
+
+
 _PAIRS = _SCALED + """, sz AS (SELECT node_id, count(*) AS n FROM sk GROUP BY ALL), sh AS (SELECT a.node_id AS a, b.node_id AS b, count(*) AS shared FROM sk a JOIN sk b USING (hash) WHERE a.node_id < b.node_id GROUP BY ALL),
 pr AS (SELECT a, b, shared, CAST(shared AS DOUBLE) / (x.n + y.n - shared) AS j FROM sh JOIN sz x ON x.node_id = a JOIN sz y ON y.node_id = b),
 ds AS (SELECT *, CASE WHEN j >= 1 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, ln(2 * j / (1 + j)) * (-1.0::DOUBLE / 15)) END AS distance FROM pr)
@@ -485,6 +500,126 @@ def neighbour_joining_tree(spark, d):
     return spark.createDataFrame([(phylogeny.build_tree(fx.genomes(spark, d), K),)], "newick string")
 
 
+# ---- files, written and read back ----
+
+
+def _put(spark: SparkSession, path: str, data: bytes) -> str:
+    """Writes a small file wherever Spark can."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(data)
+    out.close()
+    return path
+
+
+_LITERAL_READS = [("r1 strain A>B", "ACGT\nAC\n"), ("r2", ""), ("r3\tx > y", "GG\r\nTT\n"), ("r4", "NNA\n")]
+
+
+@query("SELECT * FROM (VALUES ('one', 1::BIGINT, 'r1', 'ACGTAC'), ('one', 2, 'r2', ''), ('one', 3, 'r3', 'GGTT'), ('one', 4, 'r4', 'NNA')) t(sample, ordinal, read_id, bases)")
+def file_fasta_reads(spark, d):
+    """Headers that hold > themselves."""
+    path = _put(spark, f"{cuts.shared_folder(spark, 'fasta')}/one.fa", "".join(f">{h}\n{b}" for h, b in _LITERAL_READS).encode())
+    return sequences.fasta_reads(spark, [path]).select("sample", "ordinal", "read_id", "bases")
+
+
+@query("SELECT * FROM (VALUES ('two', 1::BIGINT, 'q1 x', 'ACGT'), ('two', 2, 'q2', 'TTTT')) t(sample, ordinal, read_id, bases)")
+def file_fastq_reads(spark, d):
+    """A quality line that begins with @, in a gzip file."""
+    path = _put(spark, f"{cuts.shared_folder(spark, 'fastq')}/two.fq.tar.gz", gzip.compress(b"@q1 x\nACGT\n+\n@@@@\n@q2\nTTTT\n+q2\n!!!!\n"))
+    return sequences.reads(spark, [path]).select("sample", "ordinal", "read_id", "bases")
+
+
+@query("SELECT * FROM (VALUES ('m', 'p/', 'ACNGTN')) t(sample, read_id, seq)")
+def file_paired_reads(spark, d):
+    folder = cuts.shared_folder(spark, "mates")
+    files = [_put(spark, f"{folder}/m_{i}.fa", f">p/{i}\n{bases}\n".encode()) for i, bases in ((1, "AC"), (2, "GT"))]
+    ((a, b),) = sequences.mates(files)
+    return sequences.paired(sequences.reads(spark, [a]), sequences.reads(spark, [b])).select(F.regexp_replace("sample", "_1$", "").alias("sample"), "read_id", "seq")
+
+
+@query("SELECT * FROM (VALUES ('g1', 'ACC1', '11', 'ACGTNGG'), ('ref7', 'ACC2', NULL, 'TT')) t(name, accession, taxid, seq)")
+def file_genomes(spark, d):
+    folder = cuts.shared_folder(spark, "genomes")
+    files = [_put(spark, f"{folder}/g1.fna", b">ACC1|kraken:taxid|11| x\nAC\nGT\n>ACC9 y\nGG\n"), _put(spark, f"{folder}/7.fna", b">ACC2 z\nTT\n")]
+    return sequences.genomes(spark, files).select("name", "accession", "taxid", "seq")
+
+
+@query("SELECT * FROM (VALUES ('g1.fna', 0, '11', 'ACGT'), ('g1.fna', 1, 'c2', 'GG')) t(file, ordinal, id, seq)")
+def file_contigs(spark, d):
+    path = _put(spark, f"{cuts.shared_folder(spark, 'contigs')}/g1.fna", b">gi|11|x\nAC\nGT\n>c2 y\nGG\n")
+    return sequences.contigs(spark, [path]).select(F.regexp_extract("path", "[^/]*$", 0).alias("file"), "ordinal", "id", "seq")
+
+
+_MATRIX_SQL = """, every AS (SELECT sample, node, sl, ml FROM cnt), live AS (SELECT node FROM every GROUP BY node HAVING max(sl + ml) > 0 OR node = 0)
+SELECT e.sample, e.node, CAST(e.{v} AS BIGINT) AS {v} FROM every e JOIN live USING (node) WHERE e.{v} > 0"""
+
+
+@query(sql("WITH zero AS (SELECT 1)" + _MATRIX_SQL.format(v="sl"), vote="0.1"))
+def file_matrix_classified(spark, d):
+    return _matrix_back(spark, d, "sl")
+
+
+@query(sql("WITH zero AS (SELECT 1)" + _MATRIX_SQL.format(v="ml") + " AND e.node <> 0", vote="0.1"))
+def file_matrix_split(spark, d):
+    """Rows go by labels, and there is no unclassified one."""
+    return _matrix_back(spark, d, "ml")
+
+
+def _matrix_back(spark: SparkSession, d: str, value: str) -> DataFrame:
+    path, found, nodes = cuts.shared_folder(spark, value), _counts(spark, d), fx.nodes(spark, d)
+    samples = sorted(r["sample"] for r in found.select("sample").distinct().collect())
+    reports.write_matrix(found, value, samples, path, nodes=nodes)
+    return reports.read_matrix(spark, path, value, nodes).where(F.col(value) > 0).select("sample", "node", value)
+
+
+@query(sql(_RUNS + "SELECT code = 'C' AS classified, r.node, CAST(sum(cnt) AS BIGINT) AS cnt FROM r JOIN vote v USING (sample, read_id) WHERE code <> 'U' GROUP BY ALL", vote="0.1"))
+def file_histograms(spark, d):
+    path = cuts.shared_folder(spark, "histograms")
+    analytics.save_histograms(node_histogram(spark, d), path)
+    return analytics.load_histograms(spark, path)
+
+
+@query("SELECT * FROM (VALUES ('1', NULL, 'no rank', 'root'), ('2', '1', 'genus', 'A b')) t(taxid, parent, rank, name)")
+def file_taxonomy_dump(spark, d):
+    folder = cuts.shared_folder(spark, "dump")
+    _put(spark, f"{folder}/nodes.dmp", b"1\t|\t1\t|\tno rank\t|\n2\t|\t1\t|\tgenus\t|\n")
+    _put(spark, f"{folder}/names.dmp", b"1\t|\troot\t|\t\t|\tscientific name\t|\n2\t|\tA b\t|\t\t|\tscientific name\t|\n2\t|\tab\t|\t\t|\tsynonym\t|\n")
+    return reports.read_dump(spark, f"{folder}/nodes.dmp", f"{folder}/names.dmp")
+
+
+@query(sql(_PAIRS + "SELECT node_id, hash FROM sk", kmers=True))
+def file_sketches(spark, d):
+    """Stored sketches of half of the genomes, to which the others are added."""
+    path, genomes = cuts.shared_folder(spark, "sketches"), fx.genomes(spark, d)
+    phylogeny.save_sketches(phylogeny.sketch_scaled(genomes.where("node_id % 2 = 0"), K, 4), path)
+    return phylogeny.add_sketches(phylogeny.load_sketches(spark, path), genomes, K, 4).select("node_id", "hash")
+
+
+@query("SELECT * FROM (VALUES ('a', 'c', 2, 5.0::DOUBLE), ('b', 'd', 1, 3.0)) t(first, last, depth, distance)")
+def newick_leaves(spark, d):
+    """A tree read from text, written, and read again: first and last leaf below the children of the root, their depth and the way down to them."""
+    root = tree.load_newick(tree.write_newick(tree.load_newick("((a:2,c:2):3,(b:1,d:1):2);")))
+    rows = [(*(x.name for x in (c.leaves()[0], c.leaves()[-1])), 2 if c.distance == 3 else 1, float(c.distance + c.children[0].distance)) for c in root.children]
+    return spark.createDataFrame(rows, "first string, last string, depth int, distance double")
+
+
+@query(sql("SELECT node_id, list_transform(range(1, 4), lambda i: substr(seq, i * 7 + 1, 15)) AS words FROM fx_genomes"))
+def kmer_at_offsets(spark, d):
+    return fx.genomes(spark, d).select("node_id", kmers.at_offsets(F.col("seq"), F.array(*[F.lit(7 * i) for i in (1, 2, 3)]), K).alias("words"))
+
+
+@query("SELECT n_nationkey AS k, replace(n_name, chr(39), '') || ':1' AS text FROM nation")
+def newick_clean(spark, d):
+    return load(spark, d, "nation").select(F.col("n_nationkey").alias("k"), names.clean_newick(F.concat(F.lit("'"), "n_name", F.lit("'.fna.gz:1"))).alias("text"))
+
+
+@query("SELECT r AS k, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b FROM (SELECT n_regionkey AS r, 1 AS a, 2 AS b FROM nation UNION ALL SELECT r_regionkey + 3, 5, 7 FROM region) GROUP BY r")
+def frames_added(spark, d):
+    n = load(spark, d, "nation").select(F.col("n_regionkey").cast("bigint").alias("k"), F.lit(1).alias("a"), F.lit(2).alias("b"))
+    r = load(spark, d, "region").select((F.col("r_regionkey") + 3).cast("bigint").alias("k"), F.lit(5).alias("a"), F.lit(7).alias("b"))
+    return results.add_frames(n, r, ["k"], ["a", "b"])
+
+
 # ---- analytics ----
 
 
@@ -493,11 +628,23 @@ def node_histogram(spark, d):
     return analytics.node_histogram(classify.raw_rows(classify.classify(fx.reads(spark, d), _table(spark, d), fx.nodes(spark, d), K)))
 
 
-@query("""WITH w AS (SELECT l_quantity AS v, count(*) AS w FROM lineitem GROUP BY ALL), c AS (SELECT v, sum(w) OVER (ORDER BY v) AS upto, sum(w) OVER () AS total FROM w)
-SELECT q, min(v) AS value FROM c CROSS JOIN (SELECT unnest([0.25::DOUBLE, 0.5, 0.9]) AS q) WHERE upto >= q * total GROUP BY q""")
+# A value stands at the middle of its weight, as a share of all; between values it is interpolated, and outside clamped.
+_POINTS = """WITH w AS (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(sum(l_linenumber) AS DOUBLE) AS w FROM lineitem GROUP BY ALL),
+p AS (SELECT x, (sum(w) OVER (ORDER BY x) - w / 2) / sum(w) OVER () AS pl FROM w),
+e AS (SELECT q, max({'pl': pl, 'x': x}) FILTER (pl <= q) AS lo, min({'pl': pl, 'x': x}) FILTER (pl >= q) AS hi FROM p CROSS JOIN (SELECT unnest([0.0::DOUBLE, 0.25, 0.5, 0.75, 0.9, 1.0]) AS q) GROUP BY q),
+v AS (SELECT q, coalesce(lo.x + (hi.x - lo.x) * (q - lo.pl) / nullif(hi.pl - lo.pl, 0), lo.x, hi.x) AS value FROM e)
+"""
+
+
+@query(_POINTS + "SELECT q, round(value, 6) AS value FROM v")
 def weighted_percentile(spark, d):
-    li = load(spark, d, "lineitem").groupBy("l_quantity").agg(F.count(F.lit(1)).alias("w"))
-    return analytics.weighted_percentiles(li, "l_quantity", "w", [0.25, 0.5, 0.9]).select("q", F.col("value"))
+    return analytics.weighted_percentiles(load(spark, d, "lineitem"), "l_quantity", "l_linenumber", [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]).select("q", F.round("value", 6).alias("value"))
+
+
+@query(_POINTS + """, u AS (SELECT (max(value) FILTER (q = 0.75) - max(value) FILTER (q = 0.25)) / cbrt((SELECT count(*) FROM w)) AS width FROM v)
+SELECT round(width, 6) AS width, CAST(round_even((SELECT max(x) - min(x) FROM w) / width, 0) AS BIGINT) AS bins FROM u""")
+def histogram_width(spark, d):
+    return analytics.bin_count(load(spark, d, "lineitem"), "l_quantity", "l_linenumber").select(F.round("width", 6).alias("width"), "bins")
 
 
 @query("SELECT CAST(least(floor((CAST(l_quantity AS DOUBLE) - 0) / 5) + 1, 10) AS INTEGER) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY ALL")

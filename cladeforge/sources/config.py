@@ -116,6 +116,10 @@ class DatabaseFolders:
     def phylogeny(self) -> str:
         return f"{self.root}/phylogeny"
 
+    def missing(self) -> list[str]:
+        """What a database that is to be read lacks."""
+        return [p for p in (self.root, self.config, self.phylogeny) if not Path(p).exists()]
+
     def create(self) -> None:
         Path(self.root).mkdir(parents=True, exist_ok=True)
         Path(self.phylogeny).mkdir(exist_ok=True)

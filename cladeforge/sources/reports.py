@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeforge.functions import names
-from cladeforge.operators import classify, results
+from cladeforge.operators import classify, phylo, results
 
 
 def write_raw(result: DataFrame, path: str) -> None:
@@ -25,17 +25,26 @@ def write_csv(frame: DataFrame, path: str, header: bool = True, one_file: bool =
 def labelled(frame: DataFrame, nodes: DataFrame) -> DataFrame:
     """The node column as report labels: p<number> for branches, names for leaves, unclassified for 0."""
     own = nodes.select(F.col("node_id").alias("node"), names.node_label(F.col("name"), F.col("type")).alias("label"))
-    return frame.join(F.broadcast(own), "node", "left").withColumn("label", F.when(F.col("node") == 0, "unclassified").otherwise(F.col("label")))
+    return frame.join(phylo.sized(own), "node", "left").withColumn("label", F.when(F.col("node") == 0, "unclassified").otherwise(F.col("label")))
 
 
-def write_matrix(found: DataFrame, value: str, samples: list[str], path: str, keep_zeros: bool = False) -> None:
+def matrix(found: DataFrame, value: str, samples: list[str], nodes: DataFrame | None = None, keep_zeros: bool = False) -> DataFrame:
+    """Node by sample. With ``nodes``, rows go by their labels; the split matrix (value ml) has no unclassified row, as no unclassified read is split."""
     kept = found if keep_zeros else results.drop_zero_nodes(found)
-    write_csv(results.wide(kept, value, samples).orderBy("node"), path, one_file=True)
+    table = results.wide(kept if value != "ml" else kept.where("node <> 0"), value, samples)
+    return table.orderBy("node") if nodes is None else labelled(table, nodes).orderBy("node").select("label", *samples)
+
+
+def write_matrix(found: DataFrame, value: str, samples: list[str], path: str, keep_zeros: bool = False, nodes: DataFrame | None = None) -> None:
+    write_csv(matrix(found, value, samples, nodes, keep_zeros), path, one_file=True)
 
 
 def read_matrix(spark: SparkSession, path: str, value: str, nodes: DataFrame | None = None) -> DataFrame:
-    """Long form again; with ``nodes``, every node and sample, zeros filled in."""
+    """Long form again, of numbered or labelled rows (which need ``nodes``); with ``nodes``, every node and sample, zeros filled in."""
     table = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    if "label" in table.columns:
+        own = nodes.select(F.col("node_id").alias("node"), names.node_label(F.col("name"), F.col("type")).alias("label"))
+        table = table.withColumn("label", F.col("label").cast("string")).join(phylo.sized(own), "label", "left").withColumn("node", F.when(F.col("label") == "unclassified", 0).otherwise(F.col("node"))).drop("label")
     long = results.long(table, value).withColumn(value, F.col(value).cast("bigint")).withColumn("node", F.col("node").cast("int"))
     return results.on_all_nodes(long, nodes) if nodes is not None else long
 

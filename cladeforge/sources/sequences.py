@@ -61,12 +61,17 @@ def _numbered(spark: SparkSession, paths: list[str], separator: str | None = Non
 
 
 def fasta_reads(spark: SparkSession, paths: list[str], partitions: int | None = None) -> DataFrame:
-    """(path, sample, ordinal, read_id, bases). Records are cut at >, so no file is held whole; ordinals count a file's records from 1."""
-    rows = _numbered(spark, paths, ">").where((F.col("n") > 0) | (F.trim("value") != ""))
+    """(path, sample, ordinal, read_id, bases). A record starts where a line does, with >; another > inside a header belongs to it. No file is held whole; ordinals count a file's records from 1.
+
+    What stands before the first record of a file is left out."""
+    rows = _numbered(spark, paths, "\n>")
+    rows = rows.withColumn("headed", (F.col("n") > 0) | F.startswith("value", F.lit(">")))
+    firsts = rows.where("n = 0").select("path", F.col("headed").cast("int").alias("own"))  # a row a file
+    rows = rows.where("headed").withColumn("value", F.when(F.col("n") == 0, F.expr("substring(value, 2)")).otherwise(F.col("value"))).join(firsts, "path")
     rows = rows.repartition(partitions) if partitions else rows
     id_ = F.regexp_extract("value", r"\A(\S+)", 1)
     bases = F.regexp_replace(F.regexp_replace("value", r"\A[^\n]*\n?", ""), r"\s+", "")
-    return rows.select("path", names.sample_name("path").alias("sample"), F.col("n").alias("ordinal"), id_.alias("read_id"), bases.alias("bases"))
+    return rows.select("path", names.sample_name("path").alias("sample"), (F.col("n") + F.col("own")).alias("ordinal"), id_.alias("read_id"), bases.alias("bases"))
 
 
 def fastq_reads(spark: SparkSession, paths: list[str], partitions: int | None = None) -> DataFrame:

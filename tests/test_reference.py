@@ -188,7 +188,7 @@ def test_files(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     assert {(r["read_id"], r["seq"]) for r in got} == {(f"{n}/", f"{s}N{s}N") for n, s in many} and len(got) == 3000
-    for bad in ("x.txt", "x.tar", "x.fa.tar.gz"):
+    for bad in ("x.txt", "x.tar", "x.fa.tar"):
         with pytest.raises(ValueError):
             names.format_of(bad)
     with pytest.raises(ValueError):
@@ -273,3 +273,40 @@ def test_entry_and_catalogue(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 70
+
+
+def test_lineages_of_any_depth_and_cycles(spark):
+    from cladeforge.operators import taxonomy
+
+    chain = [(str(i), str(i - 1) if i else None) for i in range(70)]
+    got = {r["taxid"]: len(r["lineage"]) for r in taxonomy.lineages(spark.createDataFrame([*chain, ("x", "y"), ("y", "x"), ("z", "lost")], "taxid string, parent string").coalesce(1)).collect()}
+    assert got == {str(i): i + 1 for i in range(70)}
+
+
+def test_long_sequences_are_cut_without_loss(spark):
+    import random
+
+    from cladeforge.functions import kmers
+
+    rng = random.Random(3)
+    seq = "".join(rng.choice("ACGTN" if i % 50 == 0 else "ACGT") for i in range(5000))
+    rows = spark.createDataFrame([(1, seq), (2, "ACG"), (3, None), (4, seq[:15])], "id int, seq string")
+    whole = kmers.explode_windows(rows, ["id"], 15).select("id", "kmer").collect()
+    cut = kmers.stretches(rows, ["id"], 15, stretch=64).select("id", F.explode(kmers.windows("_seq", 15)).alias("w")).select("id", kmers.canonical("w").alias("kmer")).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, cut)) and len(whole) > 4000
+
+
+def test_headers_with_the_record_sign(spark, tmp_path):
+    from cladeforge.sources import sequences
+
+    (tmp_path / "a.fa").write_text(">r1 strain A>B\nACGT\n>r2 >\nGG\n")
+    (tmp_path / "b.fa").write_text("no record yet\n>r3\nTT\n")
+    got = sorted((r["sample"], r["ordinal"], r["read_id"], r["bases"]) for r in sequences.fasta_reads(spark, [str(tmp_path / "a.fa"), str(tmp_path / "b.fa")]).collect())
+    assert got == [("a", 1, "r1", "ACGT"), ("a", 2, "r2", "GG"), ("b", 1, "r3", "TT")]
+
+
+def test_matrices_of_other_samples_raise(spark):
+    from cladeforge.operators import results
+
+    with pytest.raises(ValueError):
+        results.checked(spark.createDataFrame([(1, 2)], "node int, a int"), spark.createDataFrame([(1, 2)], "node int, b int"))
