@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_K = 31
+LONG_STRETCH = 1 << 22
 
 
 def check_k(k: int, largest: int = 10_000) -> int:
@@ -76,7 +77,9 @@ def explode_windows(df: DataFrame, keys: list[str], k: int, seq: str = "seq", ou
     """keys, ordinal (rising over valid windows), kmer (canonical). outer: a row without valid windows stays, with nulls; it is meant for reads, which are not cut."""
     if outer:
         return df.select(*keys, F.posexplode_outer(windows(seq, k)).alias("ordinal", "word")).select(*keys, "ordinal", canonical("word").alias("kmer"))
-    found = stretches(df, keys, check_k(k), seq).select(*keys, "_at", F.posexplode(windows("_seq", k)).alias("_i", "word"))
+    # In two steps, as a place in a string is found by counting from its beginning.
+    long = stretches(df, keys, check_k(k), seq, LONG_STRETCH).select(*keys, F.col("_at").alias("_base"), F.col("_seq").alias("_long"))
+    found = stretches(long, [*keys, "_base"], k, "_long").select(*keys, (F.col("_base") + F.col("_at")).alias("_at"), F.posexplode(windows("_seq", k)).alias("_i", "word"))
     return found.select(*keys, (F.col("_at") + F.col("_i")).alias("ordinal"), canonical("word").alias("kmer"))
 
 
@@ -119,6 +122,7 @@ def explode_codes(df: DataFrame, keys: list[str], k: int, seq: str = "seq") -> D
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 pos, code = codes_of(row[-1] or "", k)
+                pos = pos + row[-2]
                 for lo in range(0, len(pos), 1 << 18):
                     out = pd.DataFrame({"pos": pos[lo : lo + (1 << 18)], "code": code[lo : lo + (1 << 18)]})
                     for i, name in enumerate(keys):
@@ -126,4 +130,4 @@ def explode_codes(df: DataFrame, keys: list[str], k: int, seq: str = "seq") -> D
                     yield out[[*keys, "pos", "code"]]
 
     schema = ", ".join(f"`{n}` {t}" for n, t in fields.items()) + ", pos long, code long"
-    return df.select(*keys, F.coalesce(F.col(seq), F.lit("")).alias("_seq")).mapInPandas(run, schema)
+    return stretches(df, keys, k, seq, LONG_STRETCH).select(*keys, "_at", F.coalesce("_seq", F.lit("")).alias("_seq")).mapInPandas(run, schema)
