@@ -42,15 +42,25 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0, Creative Commons ShareAlike",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "LGPL-2.1": "This library is licensed under the GNU Lesser General Public License, version 2.1",
+    "BSD-2-Clause": "Use of this source code is governed by a BSD-style license, BSD 2-Clause",
+    "ISC": "Licensed under the ISC License",
+    "Unlicense": "This is free and unencumbered software released into the public domain",
 }
 # Titles and notices, found word for word in this order; the texts of TEMPLATES come after them.
 NOTICES = {
     "AGPL-3.0": ["GNU Affero General Public License version 3", "GNU Affero General Public License as published by the Free Software Foundation either version 3"],
     "LGPL-3.0": ["GNU Lesser General Public License version 3", "GNU Lesser General Public License as published by the Free Software Foundation either version 3"],
+    "LGPL-2.1": ["GNU Lesser General Public License version 2.1", "GNU Lesser General Public License as published by the Free Software Foundation either version 2.1"],
+    "GPL-2.0": ["GNU General Public License version 2", "GNU General Public License as published by the Free Software Foundation either version 2"],
     "GPL-3.0": ["GNU General Public License version 3", "GNU General Public License as published by the Free Software Foundation either version 3"],
     "Apache-2.0": ["Apache License Version 2.0", "Apache License 2.0"],
     "MPL-2.0": ["Mozilla Public License Version 2.0", "Mozilla Public License v. 2.0", "Mozilla Public License 2.0"],
     "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"],
+    "ISC": ["ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain"],
     "MIT": ["MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"],
     "CC-BY-SA-4.0": ["Attribution-ShareAlike 4.0 International", "CC BY-SA 4.0"],
     "CC-BY-NC-4.0": ["Attribution-NonCommercial 4.0 International", "CC BY-NC 4.0"],
@@ -134,7 +144,7 @@ def stated_word_for_word(text: Column) -> Column:
     patterns["BSD-3-Clause"] += r"|redistribution[^a-z0-9]+and[^a-z0-9]+use[^a-z0-9]+in[^a-z0-9]+source[^a-z0-9]+and[^a-z0-9]+binary[^a-z0-9]+forms[\s\S]*neither[^a-z0-9]+the[^a-z0-9]+names?"
     tests += [(name, F.lower(text).rlike(rf"(?<![a-z0-9])(?:{p})(?![a-z0-9])")) for name, p in patterns.items()]
     out = F.coalesce(*[F.when(test, F.struct(F.lit(1.0).alias("cosine"), F.lit(order[name]).alias("order"), F.lit(name).alias("name"))) for name, test in tests])
-    return F.when(text.rlike("(?i)licen[cs]e|permission|redistribution|attribution|cc0|cc[^a-z0-9]+by"), out)
+    return F.when(text.rlike("(?i)licen[cs]e|permission|redistribution|attribution|cc0|cc[^a-z0-9]+by|unencumbered"), out)
 
 
 def full_texts() -> dict[str, dict[str, float]]:

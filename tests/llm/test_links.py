@@ -246,7 +246,11 @@ def test_licence_files_titles_and_notices_in_lines(spark):
     files = [(f"{n}/LICENSE", t.replace("Copyright", "Copyright (c) 2020 Someone Else")) for n, t in full.items()]
     gpl = "  # This program is free software: you can redistribute it and/or modify it under the terms of the GNU General\n  # Public License as published by the Free Software Foundation, either version 3 of the License, or later."
     more = {"spdx": ("// SPDX-License-Identifier: MIT\nx = 1", "MIT"), "spdx2": ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), "spdx3": ("# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), "gpl": (gpl, "GPL-3.0"),
-            "long": ("word " * 30 + "Released under the MIT License " + "word " * 30, "MIT"), "title": ("MIT License\n\nCopyright", "MIT"), "gnu": ("GNU GENERAL PUBLIC LICENSE\n   Version 3", "GPL-3.0"), "none": ("the MIT students' permission and a driving license", None)}
+            "long": ("word " * 30 + "Released under the MIT License " + "word " * 30, "MIT"), "title": ("MIT License\n\nCopyright", "MIT"), "gnu": ("GNU GENERAL PUBLIC LICENSE\n   Version 3", "GPL-3.0"), "gpl2": ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"), "gpl2b": (gpl.replace("version 3", "version 2"), "GPL-2.0"), "lgpl": ("// GNU Lesser General Public License, version 2.1", "LGPL-2.1"),
+            "bsd2": ("Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:", "BSD-2-Clause"), "isc": ("SPDX-License-Identifier: ISC", "ISC"),
+            "granted": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "MIT"),
+            "project": ("This project is licensed under the MIT License - see the file for details", "MIT"), "mpl": ("Mozilla Public License Version 2.0", "MPL-2.0"), "un": ("// This is free and unencumbered software released into the public domain.", "Unlicense"),
+            "none": ("the MIT students' permission and a driving license", None)}
     rows = [(i, p, t) for i, (p, t) in enumerate([*files, *((f"x/{k}.py", t) for k, (t, _) in more.items())])]
     got = {r["path"]: r["own"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), "doc_id").collect()}
     assert got == {f"{n}/LICENSE": n for n in full} | {f"x/{k}.py": n for k, (_, n) in more.items()}
